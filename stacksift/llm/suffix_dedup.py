@@ -97,10 +97,12 @@ def _grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order that puts equal keys together, and where each key begins in it."""
     order = np.argsort(keys, kind="stable")
     s = keys[order]
-    return order, np.flatnonzero(np.append(True, s[1:] != s[:-1])) if s.size else np.zeros(0, np.int64)
+    return order, np.flatnonzero(np.append(True, s[1:] != s[:-1]))
 
 
 def _split(keys: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, list[np.ndarray]]]:
+    if not keys.size:
+        return
     order, begin = _grouped(keys)
     for a, b in zip(begin, np.append(begin[1:], keys.size), strict=True):
         yield int(keys[order[a]]), [c[order[a:b]] for c in columns]
@@ -148,7 +150,7 @@ def _first_step(buckets: int, blocks: int, k: int):
                     of, local = np.unique(i[s], return_inverse=True)
                     out.append((b, SORT, pack(doc[of], row[of], np.diff(local, prepend=0).astype(np.int32), *_forty(name[s]), *_forty(run[s]), np.diff(begin[s], prepend=0).astype(np.int64), n[s].astype(np.uint8))))
                 gone = np.flatnonzero(lost)
-                for b, (s,) in _split(_blocks_of(row[i[gone]], blocks) if gone.size else gone, gone):
+                for b, (s,) in _split(_blocks_of(row[i[gone]], blocks), gone):
                     out.append((-1 - b, GONE, pack(row[i[s]], begin[s], n[s])))
                 if out:
                     yield _batch(PACKED, out)
