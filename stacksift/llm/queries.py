@@ -13,5 +13,11 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
-QUERIES = {"op2_suffix_dedup": op2_suffix_dedup}
+def op8_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import fingerprint_hex, near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", fingerprint_hex().alias("fingerprint"), "component_id")
+
+
+QUERIES = {f.__name__: f for f in (op2_suffix_dedup, op8_simhash_golay)}
 ORACLE_SQL: dict[str, str] = {}
