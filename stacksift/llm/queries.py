@@ -19,5 +19,17 @@ def op8_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", fingerprint_hex().alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op2_suffix_dedup, op8_simhash_golay)}
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack_sequences
+
+    return pack_sequences(table(spark, sf_dir, "documents"))
+
+
+def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .topk import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op2_suffix_dedup, op3_best_fit_packing, op8_simhash_golay, op10_exact_topk)}
 ORACLE_SQL: dict[str, str] = {}
