@@ -26,6 +26,10 @@ BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BROADCAST_ROWS = 200_000
 
 
+def _key() -> Column:
+    return F.xxhash64("doc_id", "text")
+
+
 def words(text: str) -> Column:
     return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), BETWEEN), "")
 
@@ -43,11 +47,11 @@ def small(df: DataFrame) -> DataFrame:
 
 
 def contamination(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFrame:
-    """Per row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated; and key, hits: where hit words lie."""
+    """Per row: doc_id, key (a name of doc_id and text), n_words, n_hit, n_items, items_sha256, contaminated."""
     of_items = cut(windows(items, size))
     distinct = of_items.select("window").distinct()
     vocabulary = distinct.select(F.explode("window").alias("word")).distinct()
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("key"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _key().alias("key"), "text")
 
     # how many places the corpus has for each word of the benchmark
     places = docs.select(F.explode(words("text")).alias("word")).join(small(cut(vocabulary)), "word").groupBy("word").agg(F.count("*").alias("places"))
@@ -80,9 +84,16 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFram
     result = probed.select("doc_id", "key", "n_words").join(counted, "key", "left").join(listed_items, "key", "left")
     return result.select(
         "doc_id",
+        "key",
         "n_words",
         F.coalesce("n_hit", F.lit(0)).alias("n_hit"),
         F.coalesce("n_items", F.lit(0)).alias("n_items"),
         F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"),
         (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
     )
+
+
+def keep_clean(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFrame:
+    """The rows without a hit, with all their columns."""
+    hit = contamination(docs, items, size).filter("contaminated").select(F.col("key").alias("_key")).distinct()
+    return docs.withColumn("_key", _key()).join(hit, "_key", "left_anti").select(*docs.columns)

@@ -19,6 +19,12 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op7_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import perspectives
+
+    return perspectives(table(spark, sf_dir, "conversations"))
+
+
 def op8_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import fingerprint_hex, near_duplicates
 
@@ -46,7 +52,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontamination import contamination
 
-    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("key")
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +67,7 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_html_mincut, op2_suffix_dedup, op3_best_fit_packing, op4_quality, op5_toxicity, op6_decontamination, op8_simhash_golay, op9_license_scan, op10_exact_topk)}
+QUERIES = {f.__name__: f for f in (op1_html_mincut, op2_suffix_dedup, op3_best_fit_packing, op4_quality, op5_toxicity, op6_decontamination, op7_chat_perspectives, op8_simhash_golay, op9_license_scan, op10_exact_topk)}
 WORDS_SQL = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 ORACLE_SQL: dict[str, str] = {
@@ -79,5 +85,17 @@ n AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY i
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
   coalesce(items, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN n USING (doc_id)
+""",
+    "op7_chat_perspectives": """
+WITH s AS (SELECT conv_id, turn, CASE WHEN trim(coalesce(role, '')) = '' THEN 'unknown' ELSE trim(role) END AS speaker,
+    replace(replace(coalesce(text, ''), '<|im_start|>', '< |im_start|>'), '<|im_end|>', '< |im_end|>') AS said FROM conversations WHERE conv_id IS NOT NULL),
+p AS (SELECT DISTINCT conv_id, speaker AS perspective FROM s WHERE speaker <> 'system'),
+b AS (SELECT s.*, perspective, CASE WHEN speaker = 'system' THEN 'system' WHEN speaker = perspective THEN 'assistant' ELSE 'user' END AS chat_role FROM s JOIN p USING (conv_id)),
+h AS (SELECT *, '<|im_start|>' || chat_role || CASE WHEN chat_role = 'user' THEN ' name=' || speaker ELSE '' END || chr(10) AS head FROM b),
+r AS (SELECT *, head || said || '<|im_end|>' || chr(10) AS rendered FROM h),
+w AS (SELECT *, CAST(sum(length(rendered)) OVER (PARTITION BY conv_id, perspective ORDER BY turn NULLS LAST, speaker, said ROWS UNBOUNDED PRECEDING) AS BIGINT) AS stop FROM r)
+SELECT conv_id, perspective, turn, speaker, chat_role, rendered, CAST(stop - length(rendered) AS BIGINT) AS start, stop,
+  CASE WHEN chat_role = 'assistant' THEN CAST(stop - length(rendered) + length(head) AS BIGINT) END AS mask_start,
+  CASE WHEN chat_role = 'assistant' THEN stop - 1 END AS mask_stop FROM w
 """,
 }

@@ -49,7 +49,7 @@ def fingerprint(text: bytes, words: int = WORDS) -> int:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([fingerprint(t) for t in texts(batch.column(1))], pa.int64())], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([fingerprint(t) for t in texts(batch.column(2))], pa.int64())], ["doc_id", "row", "fp"])
 
 
 def _remainder(x: int) -> int:
@@ -171,10 +171,14 @@ def _verify(distance: int):
     return verify
 
 
+def _row():
+    return F.xxhash64("doc_id", "text")
+
+
 def near_duplicates(docs: DataFrame, distance: int = 4) -> DataFrame:
-    """Per row: doc_id, fp (signed long) and component_id."""
+    """Per row: doc_id, row (a name of doc_id and text), fp (signed long), component (a name of it) and component_id."""
     assert 0 <= distance <= 4, "three segments with two errors each find up to four differing bits"
-    rows = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_fingerprints, "doc_id long, fp long"))
+    rows = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), _row().alias("row"), "text").mapInArrow(_fingerprints, "doc_id long, row long, fp long"))
     distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
     n = rows.count()
     buckets = max(8, -(-n * 84 // BUCKET_KEYS))
@@ -182,7 +186,14 @@ def near_duplicates(docs: DataFrame, distance: int = 4) -> DataFrame:
     group = components(found)
     named = distinct.join(group, distinct.fp == group.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     names = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    return rows.join(named.join(names, "component").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return rows.join(named.join(names, "component").select("fp", "component", "component_id"), "fp").select("doc_id", "row", "fp", "component", "component_id")
+
+
+def keep_first(docs: DataFrame, distance: int = 4) -> DataFrame:
+    """One row of each component, that of the least doc_id, with all its columns."""
+    groups = near_duplicates(docs, distance).groupBy("component")
+    first = groups.agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")).alias("first")).select(F.col("first.row").alias("_row"))
+    return docs.withColumn("_row", _row()).join(first, "_row", "left_semi").dropDuplicates(["_row"]).select(*docs.columns)
 
 
 def fingerprint_hex(fp: str = "fp"):

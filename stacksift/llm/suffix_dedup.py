@@ -31,9 +31,9 @@ from pyspark.sql import functions as F
 from .common import Rolling, cut, merged, mix, pack, texts, unpack, utf8
 
 BASE_1, BASE_2 = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
-PIECE = 1 << 21
+PIECE = 1 << 20
 #: Anchors that a bucket holds, and bytes of text that a block holds, about.
-BUCKET_ANCHORS, BLOCK_BYTES = 1_000_000, 12 << 20
+BUCKET_ANCHORS, BLOCK_BYTES = 700_000, 8 << 20
 NONE = np.iinfo(np.int64).max
 HIGH, LOW = np.uint64(0xFFFFFFFF00000000), np.uint64(0xFFFFFFFF)
 
@@ -118,8 +118,8 @@ def _batch(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
 
 PACKED = pa.schema([("bucket", pa.int64()), ("kind", pa.int32()), ("payload", pa.binary())])
 PACKED_DDL = "bucket long, kind int, payload binary"
-RESULT = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
-RESULT_DDL = "doc_id long, row long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+RESULT = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
+RESULT_DDL = "doc_id long, row long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 #: Kinds of packed rows: records to be sorted, windows to be removed, records for the second step, documents.
 SORT, GONE, MORE, TEXT = 0, 1, 2, 3
 def _forty(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -329,7 +329,7 @@ def _rank_windows(blocks: int, k: int):
     return rank
 
 
-def _finish(k: int, keep_text: bool):
+def _digests(k: int):
     def finish(key, docs, found):
         spans = _spans(found.column("payload").to_pylist(), 2 * k - 1)
         out = []
@@ -341,25 +341,51 @@ def _finish(k: int, keep_text: bool):
                     kept.append(text[at:a])
                     at = b
                 kept = b"".join([*kept, text[at:]])
-                out.append((d, r, len(text), len(text) - len(kept), int(begin.size), hashlib.sha256(kept).hexdigest(), _whole_characters(text, begin, end) if keep_text else None))
+                out.append((d, r, len(text), len(text) - len(kept), int(begin.size), hashlib.sha256(kept).hexdigest()))
         return pa.Table.from_batches([_batch(RESULT, out)])
 
     return finish
 
 
-def remove_repeats(docs: DataFrame, threshold: int = 50, keep_text: bool = False) -> DataFrame:
-    """Per row: doc_id, row (a name of doc_id and text), n_bytes, n_removed, n_spans, kept_sha256, and, if asked for,
-    kept: the bytes that are left when only whole characters go."""
+def _stripped(k: int, names: list[str]):
+    """The documents' own columns, with what is left of their texts."""
+
+    def finish(key, docs, found):
+        spans = _spans(found.column("payload").to_pylist(), 2 * k - 1)
+        out = []
+        for batch in _open_text(docs):
+            own = dict(zip(names, batch.columns[3:], strict=True))
+            left = [_whole_characters(t, *spans.get(r, NOWHERE)).decode() for r, t in zip(batch.column(1).to_pylist(), texts(batch.column(2)), strict=True)]
+            own["text"] = pa.array(left, pa.string())
+            if "n_chars" in own:
+                own["n_chars"] = pa.array([len(t) for t in left], own["n_chars"].type)
+            out.append(pa.RecordBatch.from_arrays(list(own.values()), names))
+        return pa.Table.from_batches(out) if out else pa.table({n: [] for n in names})
+
+    return finish
+
+
+def _repeats(docs: DataFrame, threshold: int, finish, ddl, more: list) -> DataFrame:
     assert threshold % 2 == 0 and 8 <= threshold <= 250, "the threshold is doubled from its half and must be even"
     k = threshold // 2
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("row"), F.coalesce("text", F.lit("")).alias("text"))
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    known = [F.col("doc_id").cast("long").alias("_doc"), F.xxhash64("doc_id", "text").alias("_row"), F.coalesce("text", F.lit("")).alias("_text")]
+    docs, bare = docs.select(*known, *more), docs.select(*known)
+    size = bare.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
     buckets = max(8, -(-int(size * 2 / (k + 1)) // BUCKET_ANCHORS))
     blocks = max(8, -(-size // BLOCK_BYTES))
-    first = cut(docs.mapInArrow(_first_step(buckets, blocks, k), PACKED_DDL).groupBy("bucket").applyInArrow(_rank_runs(blocks), PACKED_DDL))
+    first = cut(bare.mapInArrow(_first_step(buckets, blocks, k), PACKED_DDL).groupBy("bucket").applyInArrow(_rank_runs(blocks), PACKED_DDL))
     whole = docs.mapInArrow(_pack_text(blocks), PACKED_DDL).select("bucket", "payload")
     of = lambda kind: first.filter(F.col("kind") == kind).select("bucket", "payload")
     records = whole.groupBy("bucket").cogroup(of(MORE).groupBy("bucket")).applyInArrow(_records(buckets, k), PACKED_DDL)
     second = records.groupBy("bucket").applyInArrow(_rank_windows(blocks, k), PACKED_DDL).select("bucket", "payload")
-    result = whole.groupBy("bucket").cogroup(of(GONE).unionByName(second).groupBy("bucket")).applyInArrow(_finish(k, keep_text), RESULT_DDL)
-    return result if keep_text else result.drop("kept")
+    return whole.groupBy("bucket").cogroup(of(GONE).unionByName(second).groupBy("bucket")).applyInArrow(finish(k), ddl)
+
+
+def remove_repeats(docs: DataFrame, threshold: int = 50) -> DataFrame:
+    """Per row: doc_id, row (a name of doc_id and text), n_bytes, n_removed, n_spans, kept_sha256."""
+    return _repeats(docs, threshold, _digests, RESULT_DDL, [])
+
+
+def strip_repeats(docs: DataFrame, threshold: int = 50) -> DataFrame:
+    """The rows with all their columns, texts without repeats (whole characters only), n_chars following."""
+    return _repeats(docs, threshold, lambda k: _stripped(k, docs.columns), docs.schema, [F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)])

@@ -223,3 +223,14 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, caps: t
     model = train(docs, labels, caps=caps)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(5, 0).alias("held_out"), "text")
     return rows.mapInArrow(_score(model, threshold), "doc_id long, held_out boolean, score double, predicted int")
+
+
+def keep_civil(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, caps: tuple[int, int] = CAPS) -> DataFrame:
+    """The rows, all their columns kept, whose score is below the threshold."""
+    model, at = train(docs, labels, caps=caps), docs.columns.index("text")
+
+    def civil(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(model.score(texts(batch.column(at))) < threshold))
+
+    return docs.mapInArrow(civil, docs.schema)
