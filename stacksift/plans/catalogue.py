@@ -133,7 +133,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY work ORDER BY points DESC, cover
 @plan
 def json_props_projection(d):
     """Fields of a JSON column with defaults where they are missing."""
-    return f"""SELECT event_id, trim(coalesce({d.get('props', 'page')}, '')) AS page, trim(coalesce({d.get('props', 'ref')}, '')) AS ref, coalesce({d.get('props', 'nothing')}, '-') AS missing FROM events"""
+    return f"""SELECT event_id, trim(coalesce({d.get('props', 'k')}, '')) AS k, trim(coalesce({d.get('props', 'ref')}, '')) AS ref, coalesce({d.get('props', 'nothing')}, '-') AS missing FROM events"""
 
 
 @plan
@@ -170,7 +170,9 @@ def sticky_semi_join(d):
 
 @plan
 def tombstone_anti_join(d):
-    return "SELECT o_orderkey AS work FROM orders WHERE o_orderdate < CAST('1995-01-01' AS TIMESTAMP) AND NOT EXISTS (SELECT 1 FROM orders n WHERE n.o_custkey = orders.o_custkey AND n.o_orderdate >= CAST('1997-01-01' AS TIMESTAMP))"
+    """Works of the previous release that the new one lacks."""
+    return """WITH m AS (SELECT max(CAST(o_orderdate AS DATE)) AS last FROM orders), old AS (SELECT DISTINCT o_custkey AS work FROM orders), new AS (SELECT DISTINCT o_custkey AS work FROM orders, m WHERE year(o_orderdate) = year(last))
+SELECT work FROM old WHERE NOT EXISTS (SELECT 1 FROM new WHERE new.work = old.work)"""
 
 
 @plan

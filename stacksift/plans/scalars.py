@@ -172,7 +172,7 @@ def role_map(d):
 @plan
 def tag_rules(d):
     """Word-bounded includes less excludes, plural s allowed; up to eight tags."""
-    return f"""WITH r(tag, inc, exc) AS (SELECT 'sea', 'blue|azure|navy', 'smoke' UNION ALL SELECT 'metal', 'steel|copper|burnished', 'none' UNION ALL SELECT 'plant', 'almond|linen|forest', 'metallic'),
+    return f"""WITH r(tag, inc, exc) AS (SELECT 'colour', 'red|blue|green', 'widget' UNION ALL SELECT 'fastener', 'bolt|nut|screw', 'none' UNION ALL SELECT 'size', 'small|large', 'ring'),
 m AS (SELECT p_partkey AS work, tag, row_number() OVER (PARTITION BY p_partkey ORDER BY tag) AS rn FROM part JOIN r ON {'p_name RLIKE concat(chr(92), chr(98), chr(40), inc, chr(41), chr(115), chr(63), chr(92), chr(98)) AND NOT p_name RLIKE exc' if d.text == 'STRING' else "regexp_matches(p_name, concat(chr(92), 'b(', inc, ')s?', chr(92), 'b')) AND NOT regexp_matches(p_name, exc)"})
 SELECT work, tag FROM m WHERE rn <= 8"""
 
@@ -232,6 +232,6 @@ def translation_validation(d):
 @plan
 def wish_terms(d):
     """Words of a question that name tags, those behind a negation excluded."""
-    return f"""WITH q AS (SELECT doc_id, {d.words("lower(concat('not metallic but ', 'steel blue linen ', substr(text, 1, 60)))", '[a-z]+')} AS w FROM documents WHERE doc_id < 200), t AS (SELECT DISTINCT {d.each('split(p_name, chr(32))')} AS tag FROM part),
+    return f"""WITH q AS (SELECT doc_id, {d.words("lower(concat('not red but ', 'small blue ring ', substr(text, 1, 60)))", '[a-z]+')} AS w FROM documents WHERE doc_id < 200), t AS (SELECT DISTINCT {d.each('split(p_name, chr(32))')} AS tag FROM part),
 x AS (SELECT doc_id, w, {d.each(d.seq('2', d.size + '(w)'))} AS i FROM q), y AS (SELECT doc_id, {'element_at(w, CAST(i AS INT))' if d.text == 'STRING' else 'w[i]'} AS word, {'element_at(w, CAST(i - 1 AS INT))' if d.text == 'STRING' else 'w[i - 1]'} AS before FROM x)
 SELECT doc_id, tag, max(CASE WHEN before IN ('not', 'no', 'without') THEN 1 ELSE 0 END) AS excluded FROM y JOIN t ON word = tag GROUP BY doc_id, tag"""
