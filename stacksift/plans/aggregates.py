@@ -86,7 +86,7 @@ def generic_title_keys(d):
 @plan
 def shared_number(d):
     """Numbers whose records disagree with the first owner's title."""
-    return """WITH r AS (SELECT l_suppkey AS number, l_partkey, p_brand AS title, first_value(p_brand) OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber) AS first FROM lineitem JOIN part ON l_partkey = p_partkey)
+    return """WITH r AS (SELECT l_suppkey AS number, l_partkey, p_brand AS title, first_value(p_brand) OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, p_brand) AS first FROM lineitem JOIN part ON l_partkey = p_partkey)
 SELECT number, count(*) FILTER (WHERE title <> first) AS disagreeing, count(*) AS records FROM r GROUP BY number HAVING count(*) FILTER (WHERE title <> first) > 0"""
 
 
