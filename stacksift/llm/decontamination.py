@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, free_name
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What stands between words, upper case being lowered before.
@@ -95,5 +95,6 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFram
 
 def keep_clean(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFrame:
     """The rows without a hit, with all their columns."""
-    hit = contamination(docs, items, size).filter("contaminated").select(F.col("key").alias("_key")).distinct()
-    return docs.withColumn("_key", _key()).join(hit, "_key", "left_anti").select(*docs.columns)
+    name = free_name(docs, "_key")
+    hit = contamination(docs, items, size).filter("contaminated").select(F.col("key").alias(name)).distinct()
+    return docs.withColumn(name, _key()).join(hit, name, "left_anti").select(*docs.columns)

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, merged, mix, pack, texts
+from .common import cut, free_name, merged, mix, pack, texts
 from .components import components
 
 #: Generator polynomial of the binary Golay code, and how the fingerprint is cut: (shift, bits).
@@ -192,8 +192,9 @@ def near_duplicates(docs: DataFrame, distance: int = 4) -> DataFrame:
 def keep_first(docs: DataFrame, distance: int = 4) -> DataFrame:
     """One row of each component, that of the least doc_id, with all its columns."""
     groups = near_duplicates(docs, distance).groupBy("component")
-    first = groups.agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")).alias("first")).select(F.col("first.row").alias("_row"))
-    return docs.withColumn("_row", _row()).join(first, "_row", "left_semi").dropDuplicates(["_row"]).select(*docs.columns)
+    name = free_name(docs, "_row")
+    first = groups.agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")).alias("first")).select(F.col("first.row").alias(name))
+    return docs.withColumn(name, _row()).join(first, name, "left_semi").dropDuplicates([name]).select(*docs.columns)
 
 
 def fingerprint_hex(fp: str = "fp"):
