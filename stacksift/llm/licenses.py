@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts
+from .common import lean, texts
 
 #: Base phrases and their labels.
 BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
@@ -132,8 +132,8 @@ def _scan(idf: dict[bytes, float]):
 
 def scan_licenses(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
-    counts = docs.select("text").mapInArrow(_frequencies, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = docs.select("text").mapInArrow(lean(_frequencies), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     seen = {r["word"]: r["n"] for r in counts.collect()}  # a row for each word of the templates at most
     rows = seen.get(None, 0)
     idf = {w: math.log((rows + 1) / (seen.get(w.decode(), 0) + 1)) + 1 for w in VOCABULARY}
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_scan(idf), "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(_scan(idf)), "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, texts
+from .common import cut, lean, texts
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, chunk long, nth long"
 _encoders: dict[str, object] = {}
@@ -163,7 +163,7 @@ def _place(plan: np.ndarray):
 def pack_sequences(docs: DataFrame, capacity: int = 1024, final: int = 2, ranks: str | None = None) -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    pieces = cut(docs.mapInArrow(_pieces(ranks or rank_file(), final, capacity), PIECES))
+    pieces = cut(docs.mapInArrow(lean(_pieces(ranks or rank_file(), final, capacity)), PIECES))
     counts = pieces.groupBy("chunk", "length").agg(F.count("*").alias("n"))
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # <= capacity rows
     plan, _ = best_fit(histogram, capacity)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, mix, texts
+from .common import Rolling, lean, mix, texts
 from .labelled import held_out, sample
 
 BASE, WORDS, SHAPES, DIM, HIDDEN = 0xD1342543DE82EF95, 1 << 14, 1 << 12, 32, 24
@@ -192,4 +192,4 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, caps: tu
     aside = held_out(4, 2)
     model = fit(*sample(docs, labels, "quality", aside, caps))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), aside.alias("held_out"), "text")
-    return rows.mapInArrow(_score(model, threshold), "doc_id long, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(lean(_score(model, threshold)), "doc_id long, held_out boolean, score double, predicted int")

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, free_name, merged, mix, pack, texts
+from .common import cut, free_name, lean, lean_group, merged, mix, pack, texts
 from .components import components
 
 #: Generator polynomial of the binary Golay code, and how the fingerprint is cut: (shift, bits).
@@ -178,11 +178,11 @@ def _row():
 def near_duplicates(docs: DataFrame, distance: int = 4) -> DataFrame:
     """Per row: doc_id, row (a name of doc_id and text), fp (signed long), component (a name of it) and component_id."""
     assert 0 <= distance <= 4, "three segments with two errors each find up to four differing bits"
-    rows = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), _row().alias("row"), "text").mapInArrow(_fingerprints, "doc_id long, row long, fp long"))
+    rows = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), _row().alias("row"), "text").mapInArrow(lean(_fingerprints), "doc_id long, row long, fp long"))
     distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
     n = rows.count()
     buckets = max(8, -(-n * 84 // BUCKET_KEYS))
-    found = distinct.select("fp").mapInArrow(_emit(buckets), PACKED_DDL).groupBy("bucket").applyInArrow(_verify(distance), EDGE_DDL)
+    found = distinct.select("fp").mapInArrow(lean(_emit(buckets)), PACKED_DDL).groupBy("bucket").applyInArrow(lean_group(_verify(distance)), EDGE_DDL)
     group = components(found)
     named = distinct.join(group, distinct.fp == group.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     names = named.groupBy("component").agg(F.min("least").alias("component_id"))

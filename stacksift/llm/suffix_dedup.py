@@ -28,12 +28,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, cut, merged, mix, pack, texts, unpack, utf8
+from .common import Rolling, cut, lean, lean_group, lean_pair, merged, mix, pack, texts, unpack, utf8
 
 BASE_1, BASE_2 = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 PIECE = 1 << 20
 #: Anchors that a bucket holds, and bytes of text that a block holds, about.
 BUCKET_ANCHORS, BLOCK_BYTES = 700_000, 8 << 20
+#: Records whose bytes are hashed at a time.
+PART = 16_000
 NONE = np.iinfo(np.int64).max
 HIGH, LOW = np.uint64(0xFFFFFFFF00000000), np.uint64(0xFFFFFFFF)
 
@@ -274,7 +276,7 @@ def _records(buckets: int, k: int):
             sizes = [c[0].size for c in runs]
             begin, n = np.concatenate([c[0] for c in runs]), np.concatenate([c[1] for c in runs])
             d, r, w = np.repeat(doc[i], sizes), np.repeat(row[i], sizes), begin + np.repeat(at[i], sizes)
-            for s in np.array_split(np.arange(w.size), w.size // 100_000 + 1):
+            for s in np.array_split(np.arange(w.size), w.size // PART + 1):
                 size = n[s] + 2 * k - 1
                 edge = np.concatenate([[0], np.cumsum(size)])
                 flat = raw[np.repeat(w[s] - edge[:-1], size) + np.arange(edge[-1])]
@@ -298,17 +300,23 @@ def _rank_windows(blocks: int, k: int):
         parts = [unpack(p.as_py()) for p in group.column("payload")]
         doc, row, begin, n, off, raw = (np.concatenate(c) for c in zip(*parts, strict=True))
         n, off = n.astype(np.int64), off.astype(np.int64)
-        edge = np.concatenate([[0], np.cumsum(n + 2 * k - 1)])[:-1]
-        one, two = Rolling(raw, BASE_1), Rolling(raw, BASE_2)
+        edge = np.concatenate([[0], np.cumsum(n + 2 * k - 1)])
+        parts = []  # of bounded size: first record, first byte, hashes
+        for a in range(0, n.size, PART):
+            bytes_ = raw[edge[a] : edge[min(a + PART, n.size)]]
+            parts.append((a, edge[a], Rolling(bytes_, BASE_1), Rolling(bytes_, BASE_2)))
         found = []
         for o in range(k + 1):  # windows whose anchor lies o bytes in
             j = off - o
             s = np.flatnonzero((j >= 0) & (j < n))
             if s.size < 2:
                 continue
-            w = edge[s] + j[s]
-            first = mix(one.span(w, w + k)) ^ two.span(w, w + k)
-            rest = one.span(w + k, w + 2 * k) + mix(two.span(w + k, w + 2 * k))
+            bounds = np.searchsorted(s, [*(p[0] for p in parts), n.size])
+            first, rest = np.empty(s.size, np.uint64), np.empty(s.size, np.uint64)
+            for (_, low, one, two), x, y in zip(parts, bounds[:-1], bounds[1:], strict=True):
+                w = edge[s[x:y]] + j[s[x:y]] - low
+                first[x:y] = mix(one.span(w, w + k)) ^ two.span(w, w + k)
+                rest[x:y] = one.span(w + k, w + 2 * k) + mix(two.span(w + k, w + 2 * k))
             order = np.lexsort((doc[s], rest, first))
             a, b, d = first[order], rest[order], doc[s][order]
             new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
@@ -373,12 +381,12 @@ def _repeats(docs: DataFrame, threshold: int, finish, ddl, more: list) -> DataFr
     size = bare.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
     buckets = max(8, -(-int(size * 2 / (k + 1)) // BUCKET_ANCHORS))
     blocks = max(8, -(-size // BLOCK_BYTES))
-    first = cut(bare.mapInArrow(_first_step(buckets, blocks, k), PACKED_DDL).groupBy("bucket").applyInArrow(_rank_runs(blocks), PACKED_DDL))
-    whole = docs.mapInArrow(_pack_text(blocks), PACKED_DDL).select("bucket", "payload")
+    first = cut(bare.mapInArrow(lean(_first_step(buckets, blocks, k)), PACKED_DDL).groupBy("bucket").applyInArrow(lean_group(_rank_runs(blocks)), PACKED_DDL))
+    whole = docs.mapInArrow(lean(_pack_text(blocks)), PACKED_DDL).select("bucket", "payload")
     of = lambda kind: first.filter(F.col("kind") == kind).select("bucket", "payload")
-    records = whole.groupBy("bucket").cogroup(of(MORE).groupBy("bucket")).applyInArrow(_records(buckets, k), PACKED_DDL)
-    second = records.groupBy("bucket").applyInArrow(_rank_windows(blocks, k), PACKED_DDL).select("bucket", "payload")
-    return whole.groupBy("bucket").cogroup(of(GONE).unionByName(second).groupBy("bucket")).applyInArrow(finish(k), ddl)
+    records = whole.groupBy("bucket").cogroup(of(MORE).groupBy("bucket")).applyInArrow(lean_pair(_records(buckets, k)), PACKED_DDL)
+    second = records.groupBy("bucket").applyInArrow(lean_group(_rank_windows(blocks, k)), PACKED_DDL).select("bucket", "payload")
+    return whole.groupBy("bucket").cogroup(of(GONE).unionByName(second).groupBy("bucket")).applyInArrow(lean_pair(finish(k)), ddl)
 
 
 def remove_repeats(docs: DataFrame, threshold: int = 50) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, mix, texts
+from .common import Rolling, lean, mix, texts
 from .labelled import held_out, sample
 
 BASE, BUCKETS, DIM = 0x9E3779B97F4A7C15, 1 << 18, 4
@@ -222,7 +222,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, caps: t
     """Per row: doc_id, held_out, score, predicted."""
     model = train(docs, labels, caps=caps)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(5, 0).alias("held_out"), "text")
-    return rows.mapInArrow(_score(model, threshold), "doc_id long, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(lean(_score(model, threshold)), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def keep_civil(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, caps: tuple[int, int] = CAPS) -> DataFrame:
@@ -233,4 +233,4 @@ def keep_civil(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, caps:
         for batch in batches:
             yield batch.filter(pa.array(model.score(texts(batch.column(at))) < threshold))
 
-    return docs.mapInArrow(civil, docs.schema)
+    return docs.mapInArrow(lean(civil), docs.schema)
