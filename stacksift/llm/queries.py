@@ -97,5 +97,12 @@ w AS (SELECT *, CAST(sum(length(rendered)) OVER (PARTITION BY conv_id, perspecti
 SELECT conv_id, perspective, turn, speaker, chat_role, rendered, CAST(stop - length(rendered) AS BIGINT) AS start, stop,
   CASE WHEN chat_role = 'assistant' THEN CAST(stop - length(rendered) + length(head) AS BIGINT) END AS mask_start,
   CASE WHEN chat_role = 'assistant' THEN stop - 1 END AS mask_stop FROM w
+""",
+    "op10_exact_topk": """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM r WHERE rank <= 5
 """,
 }

@@ -70,7 +70,7 @@ def test_plan_has_no_python(spark, data, frame, odd, items, capsys):
     assert not re.search("Python|Pandas|Arrow|CartesianProduct|NestedLoop", capsys.readouterr().out.replace("ArrayRemove", ""))
 
 
-@pytest.mark.parametrize("name", ["op6_decontamination", "op7_chat_perspectives"])
+@pytest.mark.parametrize("name", ["op6_decontamination", "op7_chat_perspectives", "op10_exact_topk"])
 def test_queries_match_sql(spark, data, name):
     ours, theirs = both(spark, database(data), data, entry.queries()[name], entry.oracle_sql()[name])
     assert ours == theirs
