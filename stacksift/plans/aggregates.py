@@ -23,12 +23,12 @@ SELECT work, title_key, spelling, votes FROM s WHERE rs = 1"""
 
 @plan
 def most_common_smallest_tie(d):
-    return "SELECT work, shelf FROM (SELECT o_custkey AS work, o_orderpriority AS shelf, row_number() OVER (PARTITION BY o_custkey ORDER BY count(*) DESC, o_orderpriority) AS rn FROM orders GROUP BY o_custkey, o_orderpriority) x WHERE rn = 1"
+    return "SELECT work, status FROM (SELECT o_custkey AS work, o_orderpriority AS status, row_number() OVER (PARTITION BY o_custkey ORDER BY count(*) DESC, o_orderpriority) AS rn FROM orders GROUP BY o_custkey, o_orderpriority) x WHERE rn = 1"
 
 
 @plan
 def most_common_first_seen(d):
-    return "SELECT work, shelf FROM (SELECT o_custkey AS work, o_orderpriority AS shelf, row_number() OVER (PARTITION BY o_custkey ORDER BY count(*) DESC, min(o_orderkey)) AS rn FROM orders GROUP BY o_custkey, o_orderpriority) x WHERE rn = 1"
+    return "SELECT work, status FROM (SELECT o_custkey AS work, o_orderpriority AS status, row_number() OVER (PARTITION BY o_custkey ORDER BY count(*) DESC, min(o_orderkey)) AS rn FROM orders GROUP BY o_custkey, o_orderpriority) x WHERE rn = 1"
 
 
 @plan
@@ -109,9 +109,9 @@ def author_best_id(d):
 
 @plan
 def author_tag_fill(d):
-    """Tags of 0.7 of an author's shelved works (two or more) are lent to the unshelved ones."""
-    return f"""WITH {tags(d)}, shelved AS (SELECT p_partkey AS work, p_brand AS author FROM part WHERE p_size <= 25), n AS (SELECT author, count(*) AS works FROM shelved GROUP BY author),
-common AS (SELECT t.author, t.tag FROM tags t JOIN shelved s ON t.work = s.work JOIN n ON n.author = t.author GROUP BY t.author, t.tag, works HAVING works >= 2 AND count(*) >= 0.2 * works)
+    """Tags of 0.7 of an author's read works (two or more) are lent to the unread ones."""
+    return f"""WITH {tags(d)}, read_works AS (SELECT p_partkey AS work, p_brand AS author FROM part WHERE p_size <= 25), n AS (SELECT author, count(*) AS works FROM read_works GROUP BY author),
+common AS (SELECT t.author, t.tag FROM tags t JOIN read_works s ON t.work = s.work JOIN n ON n.author = t.author GROUP BY t.author, t.tag, works HAVING works >= 2 AND count(*) >= 0.2 * works)
 SELECT p_partkey AS work, tag FROM part JOIN common ON p_brand = author WHERE p_size > 25"""
 
 
@@ -175,7 +175,7 @@ def stats_years(d):
 
 @plan
 def newest_per_key(d):
-    return "SELECT work, shelf, updated FROM (SELECT o_custkey AS work, o_orderstatus AS shelf, CAST(o_orderdate AS DATE) AS updated, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders) x WHERE rn = 1"
+    return "SELECT work, status, updated FROM (SELECT o_custkey AS work, o_orderstatus AS status, CAST(o_orderdate AS DATE) AS updated, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders) x WHERE rn = 1"
 
 
 @plan
@@ -278,7 +278,7 @@ def embedding_centroids(d):
 
 
 @plan
-def author_shelf(d):
+def author_books(d):
     """An author's works by series and reading order."""
     return "SELECT p_brand AS author, p_type AS series, p_partkey AS work, row_number() OVER (PARTITION BY p_brand, p_type ORDER BY p_size, p_partkey) AS place FROM part"
 

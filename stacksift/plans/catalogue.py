@@ -1,6 +1,6 @@
 """Scans, predicates, scores and roll-ups of works, editions and reading logs.
 
-Works are parts, editions line items, the reading log events, shelves orders.
+Works are parts, editions line items, the reading log events, reading lists orders.
 """
 
 from __future__ import annotations
@@ -150,9 +150,9 @@ def csv_formula_guard(d):
 
 
 @plan
-def shelf_import(d):
-    """Rows of a reading list: status to shelf, rating rounded into 0 to 5, days kept."""
-    return """SELECT o_orderkey AS work, o_custkey AS reader, CASE o_orderstatus WHEN 'F' THEN 'Read' WHEN 'O' THEN 'Reading' ELSE 'Want' END AS shelf,
+def reading_import(d):
+    """Rows of a reading list: status, rating rounded into 0 to 5, days kept."""
+    return """SELECT o_orderkey AS work, o_custkey AS reader, CASE o_orderstatus WHEN 'F' THEN 'Read' WHEN 'O' THEN 'Reading' ELSE 'Want' END AS status,
 greatest(0, least(5, CAST(round(o_totalprice / 60000) AS INT))) AS rating, CAST(o_orderdate AS DATE) AS updated FROM orders"""
 
 

@@ -179,8 +179,8 @@ def pack_status(d):
 
 
 @plan
-def shelf_transition(d):
-    """Moves between shelves set start and finish once."""
+def status_transition(d):
+    """Moves between statuses set start and finish once."""
     return "SELECT o_custkey AS reader, min(CASE WHEN o_orderstatus IN ('O', 'F') THEN CAST(o_orderdate AS DATE) END) AS started, min(CASE WHEN o_orderstatus = 'F' THEN CAST(o_orderdate AS DATE) END) AS finished, count(*) AS moves FROM orders GROUP BY o_custkey"
 
 

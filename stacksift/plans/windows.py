@@ -124,7 +124,7 @@ def topk_by_tag(d):
 
 @plan
 def library_sorts(d):
-    """Places of a shelf's rows in each of its orders."""
+    """Places of a reading list's rows in each of its orders."""
     return """SELECT o_orderkey AS work, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey) AS by_added, row_number() OVER (ORDER BY o_orderpriority, o_orderkey) AS by_title, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS by_rating,
 row_number() OVER (ORDER BY CASE WHEN o_orderstatus = 'F' THEN 0 ELSE 1 END, o_orderdate DESC, o_orderkey) AS by_finished FROM orders"""
 

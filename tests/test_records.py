@@ -46,8 +46,8 @@ def test_triples_and_xml(spark):
 def test_reading_list(spark, tmp_path):
     (tmp_path / "l.csv").write_text('Title,Author,Exclusive Shelf,My Rating,ISBN13\n"A, ""b""\nc",X,read,7,"=""978-1"""\nD,Y,odd,,\n')
     rows = sorted(R.reading_list(spark, str(tmp_path / "l.csv")).collect(), key=lambda r: r["title"])
-    assert (rows[0]["title"], rows[0]["shelf"], rows[0]["rating"], rows[0]["isbn"]) == ('A, "b"\nc', "Read", 5, "9781")
-    assert (rows[1]["shelf"], rows[1]["rating"]) == ("Want", 0)
+    assert (rows[0]["title"], rows[0]["status"], rows[0]["rating"], rows[0]["isbn"]) == ('A, "b"\nc', "Read", 5, "9781")
+    assert (rows[1]["status"], rows[1]["rating"]) == ("Want", 0)
 
 
 def test_sinks(spark, tmp_path):
