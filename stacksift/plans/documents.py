@@ -60,7 +60,7 @@ def paragraph_reflow(d):
 @plan
 def doc_language_vote(d):
     """Language by words of one source, where it has over a fiftieth of them."""
-    return f"SELECT source, detected, count(*) AS votes FROM (SELECT source, CASE WHEN {d.like('lower(text)', '(^| )(und|der|die|das) ')} THEN 'de' WHEN {d.like('lower(text)', '(^| )(que|les|une|est) .*(^| )(la|le|et) ')} THEN 'fr' WHEN {d.like('lower(text)', '(^| )(los|las|el|con) ')} THEN 'es' ELSE 'en' END AS detected FROM documents WHERE n_chars < 4000) x GROUP BY source, detected"
+    return f"SELECT source, detected, count(*) AS votes FROM (SELECT source, CASE WHEN {d.like('lower(text)', '(^| )(und|der|die|das) ')} THEN 'de' WHEN {d.like('lower(text)', '(^| )(que|les|une|est) .*(^| )(la|le|et) ')} THEN 'fr' WHEN {d.like('lower(text)', '(^| )(los|las|el|con) ')} THEN 'es' ELSE 'en' END AS detected FROM documents) x GROUP BY source, detected"
 
 
 @plan

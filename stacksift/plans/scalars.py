@@ -94,7 +94,7 @@ SELECT doc_id, CASE WHEN top = 0 THEN 'en' WHEN n_en = top THEN 'en' WHEN n_fr =
 @plan
 def script_share(d):
     """Share of plain Latin letters among all."""
-    return f"SELECT doc_id, round(length({d.replaced('lower(text)', '[^a-z]+', '')}) / (1.0e0 * greatest(1, length({d.replaced('text', '[ .,!?|*#$%&0-9:;/=()@_-]+', '')}))), 6) AS latin FROM documents WHERE n_chars < 3000"
+    return f"SELECT doc_id, round(length({d.replaced('lower(text)', '[^a-z]+', '')}) / (1.0e0 * greatest(1, length({d.replaced('text', '[ .,!?|*#$%&0-9:;/=()@_-]+', '')}))), 6) AS latin FROM documents"
 
 
 @plan

@@ -93,14 +93,24 @@ SELECT s.pack, id, month, base, row_number() OVER (PARTITION BY s.pack ORDER BY
 @plan
 def repeated_words(d):
     """Texts with a word that stands three times in a row or oftener."""
-    return f"""WITH w AS (SELECT doc_id, {d.words('lower(text)', '[a-z]+')} AS w FROM documents WHERE n_chars < 4000), x AS (SELECT doc_id, w, {d.each(d.seq('1', f'greatest({d.size}(w) - 2, 1)'))} AS i FROM w WHERE {d.size}(w) >= 3)
-SELECT doc_id, count(*) AS runs FROM x WHERE {'element_at(w, CAST(i AS INT)) = element_at(w, CAST(i + 1 AS INT)) AND element_at(w, CAST(i AS INT)) = element_at(w, CAST(i + 2 AS INT))' if d.text == 'STRING' else 'w[i] = w[i + 1] AND w[i] = w[i + 2]'} GROUP BY doc_id"""
+    found = d.words("lower(text)", "[a-z]+")
+    if d.text == "STRING":  # words are found once a text and not copied for each place
+        runs = "size(filter(sequence(1, size(w) - 2), i -> element_at(w, i) = element_at(w, i + 1) AND element_at(w, i) = element_at(w, i + 2)))"
+        return f"SELECT doc_id, CAST(runs AS BIGINT) AS runs FROM (SELECT doc_id, explode(transform(array({found}), w -> CASE WHEN size(w) >= 3 THEN {runs} ELSE 0 END)) AS runs FROM documents) x WHERE runs > 0"
+    return f"""WITH w AS (SELECT doc_id, {found} AS w FROM documents), x AS (SELECT doc_id, w, {d.each(d.seq('1', f'greatest({d.size}(w) - 2, 1)'))} AS i FROM w WHERE {d.size}(w) >= 3)
+SELECT doc_id, count(*) AS runs FROM x WHERE w[i] = w[i + 1] AND w[i] = w[i + 2] GROUP BY doc_id"""
 
 
 @plan
 def repeated_phrase(d):
     """Texts with a window of six words that occurs three times or oftener."""
-    return f"""WITH w AS (SELECT doc_id, {d.words('lower(text)', '[a-z]+')} AS w FROM documents WHERE n_chars < 4000), x AS (SELECT doc_id, {d.join}({d.slice}(w, CAST(i AS INT), {'6' if d.text == 'STRING' else 'CAST(i AS INT) + 5'}), ' ') AS phrase FROM (SELECT doc_id, w, {d.each(d.seq('1', f'{d.size}(w) - 5'))} AS i FROM w WHERE {d.size}(w) >= 6) y)
+    found = d.words("lower(text)", "[a-z]+")
+    if d.text == "STRING":  # words are found once a text and not copied for each place
+        six = ", ".join(f"element_at(w, i + {n})" for n in range(6))
+        phrases = f"x AS (SELECT doc_id, explode(flatten(transform(array({found}), w -> CASE WHEN size(w) >= 6 THEN transform(sequence(1, size(w) - 5), i -> concat_ws(' ', {six})) ELSE CAST(array() AS ARRAY<STRING>) END))) AS phrase FROM documents)"
+    else:
+        phrases = f"w AS (SELECT doc_id, {found} AS w FROM documents), x AS (SELECT doc_id, {d.join}({d.slice}(w, CAST(i AS INT), CAST(i AS INT) + 5), ' ') AS phrase FROM (SELECT doc_id, w, {d.each(d.seq('1', f'{d.size}(w) - 5'))} AS i FROM w WHERE {d.size}(w) >= 6) y)"
+    return f"""WITH {phrases}
 SELECT doc_id, max(n) AS times, count(*) AS phrases FROM (SELECT doc_id, phrase, count(*) AS n FROM x GROUP BY doc_id, phrase HAVING count(*) >= 3) z GROUP BY doc_id"""
 
 
