@@ -268,11 +268,14 @@ def _records(buckets: int, k: int):
             raw, at = utf8(batch.column(2))
             doc = batch.column(0).fill_null(NONE).to_numpy(zero_copy_only=False)
             row = batch.column(1).to_numpy(zero_copy_only=False)
-            i = np.array([x for x, r in enumerate(row.tolist()) if r in more], np.int64)
-            if not i.size:
+            i, runs = [], []
+            for x, r in enumerate(row.tolist()):
+                if r in more:  # equal rows: once
+                    i.append(x)
+                    runs.append(more.pop(r))
+            if not i:
                 continue
-            runs = [more.pop(r) for r in row[i].tolist() if r in more]  # equal rows: once
-            i = np.array(list({r: x for x, r in reversed(list(zip(i.tolist(), row[i].tolist(), strict=True)))}.values()), np.int64)[::-1]
+            i = np.array(i, np.int64)
             sizes = [c[0].size for c in runs]
             begin, n = np.concatenate([c[0] for c in runs]), np.concatenate([c[1] for c in runs])
             d, r, w = np.repeat(doc[i], sizes), np.repeat(row[i], sizes), begin + np.repeat(at[i], sizes)

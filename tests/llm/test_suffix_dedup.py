@@ -73,3 +73,10 @@ def test_strip_keeps_columns_and_characters(frame, odd):
     assert all(r["n_chars"] == len(r["text"]) and r["row"] == "r" for r in rows)
     assert next(r["text"] for r in rows if r["doc_id"] == 8) == "é" * 500
     assert next(r["text"] for r in rows if r["doc_id"] == 7) == ""
+
+
+def test_repeated_rows_apart(frame):
+    rng = np.random.default_rng(3)
+    once = [(i, "".join(rng.choice(list("ab "), int(rng.integers(50, 300))))) for i in range(40)]
+    rows = once + once[::-1]  # A, B, A: the rows between have partial repeats
+    assert ours(frame(rows).coalesce(1), threshold=8) == brute(rows, 8)
