@@ -8,7 +8,7 @@ range of ordinals, the first bin, pieces a bin, and the offset; the number of ro
 Ordinals come from two levels, each piece's place within its task and length and the sum of earlier tasks' counts, so no
 task holds all pieces of a length.
 
-Ids are those of the byte-level BPE file. They are computed with its rank file, which gives the same ids at several
+Ids are those of the byte-level BPE file, its added tokens included. They are computed with its rank file, which gives the same ids at several
 times the speed; the tests hold both against each other.
 
 Defined cases: a null or empty text has the final id alone. Repeated rows and rows without doc_id are packed like
@@ -18,6 +18,9 @@ others. An empty table gives an empty result. Other columns are ignored.
 from __future__ import annotations
 
 import base64
+import functools
+import json
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -39,16 +42,37 @@ def rank_file() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
-def encoder(path: str):
-    """Ids of texts by a rank file."""
+def _added(path: str) -> dict[str, int]:
+    """The added tokens of the vocabulary whose rank file this is."""
+    whole = f"{path.removesuffix('.tiktoken')}.json"
+    if not os.path.exists(whole):
+        return {}
+    with open(whole, encoding="utf-8") as file:
+        found = json.load(file)["added_tokens"]
+    odd = [t["content"] for t in found if t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"]]
+    assert not odd, f"added tokens that take in their surroundings: {odd}"
+    return {t["content"]: t["id"] for t in found}
+
+
+def _encoding(path: str):
     if path not in _encoders:
         import public_tokenizers
         import tiktoken
 
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        _encoders[path] = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return _encoders[path].encode_ordinary
+        _encoders[path] = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=_added(path))
+    return _encoders[path]
+
+
+def encoder(path: str):
+    """Ids of texts by a rank file, added tokens as ordinary text."""
+    return _encoding(path).encode_ordinary
+
+
+def full_encoder(path: str):
+    """Ids of texts as ``tokenizers`` gives them: texts are split at the added tokens, which have their own ids."""
+    return functools.partial(_encoding(path).encode, allowed_special="all")
 
 
 def cuts(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -59,7 +83,7 @@ def cuts(n: int, capacity: int) -> list[tuple[int, int]]:
 
 def _pieces(path: str, final: int, capacity: int):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, seen, chunk = encoder(path), np.zeros(capacity + 1, np.int64).tolist(), TaskContext.get().partitionId()
+        encode, seen, chunk = full_encoder(path), np.zeros(capacity + 1, np.int64).tolist(), TaskContext.get().partitionId()
         for batch in batches:
             out = []
             for doc, text in zip(batch.column(0).to_pylist(), texts(batch.column(1)), strict=True):

@@ -8,7 +8,7 @@ from hypothesis import given
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from stacksift.llm.packing import best_fit, cuts, encoder, pack_sequences, rank_file
+from stacksift.llm.packing import best_fit, cuts, encoder, full_encoder, pack_sequences, rank_file
 
 
 def tokenizer():
@@ -99,3 +99,13 @@ def test_cuts():
     assert cuts(1, 4) == [(0, 1)]
     assert cuts(4, 4) == [(0, 4)]
     assert cuts(9, 4) == [(0, 1), (1, 4), (5, 4)]
+
+
+def test_added_tokens_have_their_ids(frame):
+    t, ours = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), full_encoder(rank_file())
+    end = "<|endoftext|>"
+    texts = [f"a {end} b", end, f"x{end}{end}  y\n{end}", f"don't {end[:-1]}", f"z  {end}  q", f"Żółw {end} 猫", "plain"]
+    ids = {n: t.encode(x, add_special_tokens=False).ids for n, x in enumerate(texts)}
+    assert ids == {n: ours(x) for n, x in enumerate(texts)}
+    assert ids[0] == [64, 220, 50256, 275]
+    verify(pack_sequences(frame(list(enumerate(texts)))).collect(), {n: [*x, 2] for n, x in ids.items()})
