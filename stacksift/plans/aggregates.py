@@ -130,7 +130,7 @@ def tag_idf(d):
 @plan
 def term_frequency(d):
     """Terms of titles and texts with the number of documents."""
-    return f"""SELECT term, count(DISTINCT doc_id) AS documents, count(*) AS places FROM (SELECT doc_id, {d.each(d.words("lower(substr(text, 1, 400))", "[a-z0-9]+"))} AS term FROM documents) x GROUP BY term HAVING count(*) >= 3"""
+    return f"""SELECT term, count(DISTINCT doc_id) AS documents, count(*) AS places FROM (SELECT doc_id, {d.each(d.words("lower(text)", "[a-z0-9]+"))} AS term FROM documents) x GROUP BY term HAVING count(*) >= 3"""
 
 
 @plan

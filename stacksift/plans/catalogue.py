@@ -111,7 +111,7 @@ def bad_title_filter(d):
 @plan
 def companion_filter(d):
     """Study aids and omnibus editions by pattern."""
-    return f"""SELECT doc_id, {d.like("lower(substr(text, 1, 60))", "study guide|companion|summary of|box(ed)? set|omnibus")} AS companion FROM documents"""
+    return f"""SELECT doc_id, {d.like("lower(text)", "study guide|companion|summary of|box(ed)? set|omnibus")} AS companion FROM documents"""
 
 
 @plan
@@ -230,8 +230,8 @@ def posting_difference(d):
 
 @plan
 def containment_match(d):
-    """Items whose first words stand in a text; the longest one per text."""
-    return f"""WITH i AS (SELECT item_id, lower(substr(text, 1, 40)) AS phrase FROM benchmark), m AS (SELECT doc_id, item_id, length(phrase) AS n FROM documents JOIN i ON {'contains(lower(text), phrase)'}),
+    """Items that stand whole in a text; the longest one per text."""
+    return f"""WITH i AS (SELECT item_id, lower(text) AS phrase FROM benchmark), m AS (SELECT doc_id, item_id, length(phrase) AS n FROM documents JOIN i ON {'contains(lower(text), phrase)'}),
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, item_id) AS rn FROM m) SELECT doc_id, item_id FROM r WHERE rn = 1"""
 
 

@@ -22,18 +22,18 @@ def tokens(d, x: str) -> str:
 @plan
 def tokenize_ascii(d):
     """Folded tokens of at most 24 characters."""
-    return f"SELECT doc_id, {d.join}({d.mapped(tokens(d, 'substr(text, 1, 300)'), 't', 'substr(t, 1, 24)')}, ' ') AS tokens FROM documents"
+    return f"SELECT doc_id, {d.join}({d.mapped(tokens(d, 'text'), 't', 'substr(t, 1, 24)')}, ' ') AS tokens FROM documents"
 
 
 @plan
 def match_key(d):
-    return f"SELECT doc_id, {d.replaced(d.join + '(' + tokens(d, 'substr(text, 1, 80)') + ', chr(32))', '^(' + ARTICLES + ') ', '')} AS match_key FROM documents"
+    return f"SELECT doc_id, {d.replaced(d.join + '(' + tokens(d, 'text') + ', chr(32))', '^(' + ARTICLES + ') ', '')} AS match_key FROM documents"
 
 
 @plan
 def title_key(d):
     """The key of what stands before a colon, semicolon, bracket or slash."""
-    return f"SELECT doc_id, {d.replaced(d.join + '(' + tokens(d, d.replaced('substr(text, 1, 80)', '[:;(/].*$', '')) + ', chr(32))', '^(the|a|an) ', '')} AS title_key FROM documents WHERE NOT {d.like('substr(text, 1, 80)', '[\\n]')}"
+    return f"SELECT doc_id, {d.replaced(d.join + '(' + tokens(d, d.replaced('text', '(?s)[:;(/].*$', '')) + ', chr(32))', '^(the|a|an) ', '')} AS title_key FROM documents"
 
 
 @plan
@@ -87,7 +87,7 @@ def transposition_variants(d):
 def detect_language(d):
     """Stop-word vote with one winner, English by default."""
     hits = ", ".join(f"{d.size}({d.kept('w', 't', d.like('t', '^(' + STOP[k] + ')$'))}) AS n_{k}" for k in STOP)
-    return f"""WITH w AS (SELECT doc_id, lang, {d.words('lower(substr(text, 1, 1500))', '[a-zäöüßéèñ]+')} AS w FROM documents), h AS (SELECT doc_id, lang, {hits} FROM w), m AS (SELECT *, greatest(n_en, n_fr, n_de, n_es) AS top FROM h)
+    return f"""WITH w AS (SELECT doc_id, lang, {d.words('lower(text)', '[a-zäöüßéèñ]+')} AS w FROM documents), h AS (SELECT doc_id, lang, {hits} FROM w), m AS (SELECT *, greatest(n_en, n_fr, n_de, n_es) AS top FROM h)
 SELECT doc_id, CASE WHEN top = 0 THEN 'en' WHEN n_en = top THEN 'en' WHEN n_fr = top THEN 'fr' WHEN n_de = top THEN 'de' ELSE 'es' END AS detected, top FROM m"""
 
 
@@ -100,7 +100,7 @@ def script_share(d):
 @plan
 def foreign_title(d):
     """Titles of three words and more without an own stop word, with one of another language."""
-    return f"SELECT doc_id, lang, {d.like('lower(substr(text, 1, 200))', '(^| )(' + STOP['fr'] + ')( |$)')} AND NOT {d.like('lower(substr(text, 1, 200))', '(^| )(' + STOP['en'] + ')( |$)')} AS foreign_title FROM documents"
+    return f"SELECT doc_id, lang, {d.like('lower(text)', '(^| )(' + STOP['fr'] + ')( |$)')} AND NOT {d.like('lower(text)', '(^| )(' + STOP['en'] + ')( |$)')} AS foreign_title FROM documents"
 
 
 @plan

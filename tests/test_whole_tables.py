@@ -57,3 +57,32 @@ def test_language_votes_of_long_texts(run):
 def test_script_share_of_long_texts(run):
     got = dict(run("script_share", **documents()))
     assert sorted(got) == [1, 2, 3, 4, 5] and got[5] == round(2 / 4002, 6) and got[2] == 1
+
+
+TAIL = "alpha " * 600 + "tail Box set: die und der das nicht ein mit"
+TEXTS = {"documents": ([(1, "The " + TAIL, "de", "a", None), (2, "x" * 30 + "\nyz / rest", "en", "a", None), (3, "beta " * 200 + "les mots", "fr", "a", None), (4, "tail tail", "en", "a", None)], documents()["documents"][1])}
+
+
+def test_words_behind_the_first_characters(run):
+    assert set(run("term_frequency", **TEXTS)) == {("alpha", 1, 600), ("beta", 1, 200), ("tail", 2, 3)}
+    tokens = dict(run("tokenize_ascii", **TEXTS))
+    assert tokens[1] == ("the " + TAIL).lower().replace(":", "") and tokens[2] == "x" * 24 + " yz rest"
+    assert {d: (lang, top) for d, lang, top in run("detect_language", **TEXTS)}[1] == ("de", 7)
+
+
+def test_keys_of_whole_texts(run):
+    assert dict(run("match_key", **TEXTS))[1] == TAIL.lower().replace(":", "")
+    keys = dict(run("title_key", **TEXTS))
+    assert keys[1] == ("alpha " * 600 + "tail box set") and keys[2] == "x" * 30 + " yz" and len(keys) == 4
+
+
+def test_patterns_behind_the_first_characters(run):
+    assert {d for d, found in run("companion_filter", **TEXTS) if found} == {1}
+    assert {d for d, _, found in run("foreign_title", **TEXTS) if found} == {3}
+
+
+def test_items_are_matched_whole(run):
+    item = "a passage that begins like others do and then goes on "
+    tables = documents([(1, f"x {item}here", "en", "a", None), (2, f"x {item}there", "en", "a", None)])
+    items = {"benchmark": ([(1, item + "here"), (2, item + "there")], "item_id long, text string")}
+    assert sorted(run("containment_match", **tables, **items)) == [(1, 1), (2, 2)]
