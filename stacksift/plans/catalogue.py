@@ -238,7 +238,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, item_id)
 @plan
 def series_alignment(d):
     """Pairs of series by one author that share a volume at one position."""
-    return """WITH s AS (SELECT DISTINCT l_orderkey AS series, l_linenumber AS position, l_suppkey AS author FROM lineitem WHERE l_orderkey <= 400)
+    return """WITH s AS (SELECT DISTINCT l_orderkey AS series, l_linenumber AS position, l_suppkey AS author FROM lineitem)
 SELECT a.series AS a, b.series AS b, count(*) AS shared FROM s a JOIN s b ON a.author = b.author AND a.position = b.position AND a.series < b.series GROUP BY a.series, b.series"""
 
 

@@ -83,7 +83,7 @@ def sentence_counts(d):
 @plan
 def remaining_time(d):
     """Seconds left at fifteen characters each, by section."""
-    return f"WITH {lines(d)} SELECT doc_id, i, CAST(sum(length(t)) OVER (PARTITION BY doc_id ORDER BY i DESC ROWS UNBOUNDED PRECEDING) AS BIGINT) AS chars, round(sum(length(t)) OVER (PARTITION BY doc_id ORDER BY i DESC ROWS UNBOUNDED PRECEDING) / 15.0e0, 4) AS seconds FROM line WHERE doc_id < 300"
+    return f"WITH {lines(d)} SELECT doc_id, i, CAST(sum(length(t)) OVER (PARTITION BY doc_id ORDER BY i DESC ROWS UNBOUNDED PRECEDING) AS BIGINT) AS chars, round(sum(length(t)) OVER (PARTITION BY doc_id ORDER BY i DESC ROWS UNBOUNDED PRECEDING) / 15.0e0, 4) AS seconds FROM line"
 
 
 @plan

@@ -98,11 +98,12 @@ def near_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def recommend_diversified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each of a hundred readers: candidates by tag and price, made diverse."""
+    """For each reader: candidates by tag and price, made diverse; readers with the same candidates share one choice."""
     part = read(spark, sf_dir, "part")
-    readers = read(spark, sf_dir, "customer").filter("c_custkey < 100").select(F.col("c_custkey").alias("request"), F.pmod("c_custkey", F.lit(50)).cast("int").alias("p_size"))
-    found = part.join(readers, "p_size").select("request", F.col("p_partkey").alias("work"), F.col("p_brand").alias("author"), F.col("p_type").alias("cluster"), F.col("p_name").alias("title"), F.col("p_retailprice").alias("score"))
-    return diversified(found)
+    readers = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("request"), F.pmod("c_custkey", F.lit(50)).cast("long").alias("p_size"))
+    found = part.select(F.col("p_size").alias("request"), F.col("p_partkey").alias("work"), F.col("p_brand").alias("author"), F.col("p_type").alias("cluster"), F.col("p_name").alias("title"), F.col("p_retailprice").alias("score"))
+    chosen = diversified(found).withColumnRenamed("request", "p_size")
+    return chosen.join(readers, "p_size").select("request", "work", "place")
 
 
 @query()

@@ -232,6 +232,12 @@ def translation_validation(d):
 @plan
 def wish_terms(d):
     """Words of a question that name tags, those behind a negation excluded."""
-    return f"""WITH q AS (SELECT doc_id, {d.words("lower(concat('not red but ', 'small blue ring ', substr(text, 1, 60)))", '[a-z]+')} AS w FROM documents WHERE doc_id < 200), t AS (SELECT DISTINCT {d.each('split(p_name, chr(32))')} AS tag FROM part),
-x AS (SELECT doc_id, w, {d.each(d.seq('2', d.size + '(w)'))} AS i FROM q), y AS (SELECT doc_id, {'element_at(w, CAST(i AS INT))' if d.text == 'STRING' else 'w[i]'} AS word, {'element_at(w, CAST(i - 1 AS INT))' if d.text == 'STRING' else 'w[i - 1]'} AS before FROM x)
+    found = d.words("lower(concat('not red but ', 'small blue ring ', text))", "[a-z]+")
+    tag = f"t AS (SELECT DISTINCT {d.each('split(p_name, chr(32))')} AS tag FROM part)"
+    if d.text == "STRING":  # words are found once a text and not copied for each place
+        pair = "named_struct('word', element_at(w, i), 'before', element_at(w, i - 1))"
+        words = f"p AS (SELECT doc_id, explode(flatten(transform(array({found}), w -> transform(sequence(2, size(w)), i -> {pair})))) AS p FROM documents WHERE text IS NOT NULL), y AS (SELECT doc_id, p.word AS word, p.before AS before FROM p)"
+    else:
+        words = f"q AS (SELECT doc_id, {found} AS w FROM documents), x AS (SELECT doc_id, w, {d.each(d.seq('2', d.size + '(w)'))} AS i FROM q), y AS (SELECT doc_id, w[i] AS word, w[i - 1] AS before FROM x)"
+    return f"""WITH {words}, {tag}
 SELECT doc_id, tag, max(CASE WHEN before IN ('not', 'no', 'without') THEN 1 ELSE 0 END) AS excluded FROM y JOIN t ON word = tag GROUP BY doc_id, tag"""

@@ -38,7 +38,7 @@ def score_clamp(d):
 @plan
 def reading_order_anchor(d):
     """Unnumbered members stand behind the largest volume of a year not after theirs."""
-    return """WITH m AS (SELECT l_suppkey AS series, l_orderkey * 10 + l_linenumber AS work, CASE WHEN l_linenumber <= 4 THEN l_linenumber ELSE 0 END AS volume, year(l_shipdate) AS y FROM lineitem WHERE l_orderkey <= 2000),
+    return """WITH m AS (SELECT l_suppkey AS series, l_orderkey * 10 + l_linenumber AS work, CASE WHEN l_linenumber <= 4 THEN l_linenumber ELSE 0 END AS volume, year(l_shipdate) AS y FROM lineitem),
 a AS (SELECT m.*, CASE WHEN volume > 0 THEN volume ELSE coalesce(max(CASE WHEN volume > 0 THEN volume END) OVER (PARTITION BY series ORDER BY y RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) END AS anchor FROM m)
 SELECT series, work, anchor, row_number() OVER (PARTITION BY series ORDER BY anchor, CASE WHEN volume > 0 THEN 0 ELSE 1 END, y, work) AS place FROM a"""
 
@@ -86,7 +86,7 @@ def latest_visible_version(d):
 @plan
 def chain_selection(d):
     """The newest base of a pack, then its later deltas in order."""
-    return """WITH s AS (SELECT o_orderpriority AS pack, o_orderkey AS id, CAST(o_orderdate AS DATE) AS month, o_orderstatus = 'F' AS base FROM orders WHERE o_orderkey <= 3000), b AS (SELECT pack, max(month) AS since FROM s WHERE base GROUP BY pack)
+    return """WITH s AS (SELECT o_orderpriority AS pack, o_orderkey AS id, CAST(o_orderdate AS DATE) AS month, o_orderstatus = 'F' AS base FROM orders), b AS (SELECT pack, max(month) AS since FROM s WHERE base GROUP BY pack)
 SELECT s.pack, id, month, base, row_number() OVER (PARTITION BY s.pack ORDER BY CASE WHEN base THEN 0 ELSE 1 END, month, id) AS place FROM s JOIN b ON s.pack = b.pack WHERE (base AND month = since) OR (NOT base AND month >= since)"""
 
 
@@ -178,7 +178,7 @@ def budget_cut(d):
 @plan
 def next_unread(d):
     """The first member of each series that a reader hasn't finished."""
-    return """WITH m AS (SELECT DISTINCT o_custkey AS reader, l_suppkey AS series, l_linenumber AS volume, o_orderstatus AS status FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_custkey <= 200)
+    return """WITH m AS (SELECT DISTINCT o_custkey AS reader, l_suppkey AS series, l_linenumber AS volume, o_orderstatus AS status FROM orders JOIN lineitem ON l_orderkey = o_orderkey)
 SELECT reader, series, min(volume) AS next FROM m WHERE status <> 'F' GROUP BY reader, series"""
 
 

@@ -6,6 +6,7 @@ from collections import Counter
 import pytest
 
 import __spark_entry__ as entry
+from stacksift.operators.recommend import diversified
 
 LONG = "word " * 900 + "no no no " + "one two three four five six " * 3 + "und der die das "
 DOCS = [(1, LONG, "en", "a", len(LONG)), (2, "go go go go", "en", "a", None), (3, "Short and plain", "en", "b", 15), (4, "x" * 5000 + " que le temps", "fr", "b", 5013), (5, "ж" * 4000 + "ab", "en", "b", 4002)]
@@ -86,3 +87,35 @@ def test_items_are_matched_whole(run):
     tables = documents([(1, f"x {item}here", "en", "a", None), (2, f"x {item}there", "en", "a", None)])
     items = {"benchmark": ([(1, item + "here"), (2, item + "there")], "item_id long, text string")}
     assert sorted(run("containment_match", **tables, **items)) == [(1, 1), (2, 2)]
+
+
+DAY = "1995-01-0"
+ROWS = [(order, 1 + order % 7, order % 3, line, f"{DAY}{1 + order % 9}") for order in (1, 2, 300, 301, 401, 501, 2001, 3001, 9000) for line in (1, 2, 6)]
+LINES = {"lineitem": (ROWS, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_shipdate string")}
+ORDERS = {"orders": ([(o, o, "F" if o % 2 else "O", f"{DAY}{1 + o % 9}", "1") for o in sorted({r[0] for r in ROWS})], "o_orderkey long, o_custkey long, o_orderstatus string, o_orderdate string, o_orderpriority string")}
+
+
+def test_all_series_and_orders(run):
+    assert {(s, p) for s, _, p in run("series_members", **LINES)} == {(r[0], n) for r in ROWS for n in (1, 2, 3)}
+    members = Counter(r[2] for r in ROWS)
+    assert set(run("series_gap_fill", **LINES)) == {(s, 3, n) for s, n in members.items()}
+    assert Counter(r[0] for r in run("reading_order_anchor", **LINES)) == members
+    pairs = Counter((a[0], b[0]) for a in ROWS for b in ROWS if a[0] < b[0] and a[2:4] == b[2:4])
+    assert {(a, b): n for a, b, n in run("series_alignment", **LINES)} == pairs
+    assert set(run("next_unread", **LINES, **ORDERS)) == {(r[0], r[2], 1) for r in ROWS if r[0] % 2 == 0}
+    since = max(day for _, _, status, day, _ in ORDERS["orders"][0] if status == "F")
+    assert {r[1] for r in run("chain_selection", **ORDERS)} == {o for o, _, status, day, _ in ORDERS["orders"][0] if (day == since if status == "F" else day >= since)}
+
+
+def test_all_documents_and_their_ends(run):
+    tables = documents([(5, "no widget", "en", "a", None), (900, "a " * 50 + "bolt\nwithout widget", "en", "a", None)])
+    parts = {"part": ([("bolt widget",)], "p_name string")}
+    assert set(run("wish_terms", **tables, **parts)) == {(5, "widget", 1), (900, "bolt", 0), (900, "widget", 1)}
+    assert {(d, i): n for d, i, n, _ in run("remaining_time", **tables)} == {(5, 1): 9, (900, 1): 118, (900, 2): 14}
+
+
+def test_all_readers_get_works(spark, data):
+    part, readers = spark.read.parquet(f"{data}/part.parquet"), spark.read.parquet(f"{data}/customer.parquet")
+    found = part.join(readers.selectExpr("c_custkey AS request", "CAST(c_custkey % 50 AS INT) AS p_size"), "p_size").selectExpr("request", "p_partkey AS work", "p_brand AS author", "p_type AS cluster", "p_name AS title", "p_retailprice AS score")
+    want = sorted(map(tuple, diversified(found).collect()))
+    assert sorted(map(tuple, entry.queries()["recommend_diversified"](spark, data).collect())) == want and want[-1][0] >= 100
