@@ -250,9 +250,17 @@ w AS (SELECT work, t.tag, idf / (1 + 0.15e0 * (row_number() OVER (PARTITION BY w
 
 @plan
 def tag_cosine_similar(d):
-    """Cosines of tag vectors between a work and all that share a tag; the best ten, with popularity at 0.3."""
+    """Cosines of tag vectors between each work and all that share a tag; the best ten, with popularity at 0.3."""
+    if d.text == "STRING":  # works with the same tags have the same cosines: ranked once, with one more for the work itself
+        return f"""WITH {SCORED}, {tags(d)}, i AS (SELECT tag, ln(((SELECT count(*) FROM part) + 1) / (count(*) + 1.0e0)) AS idf FROM tags GROUP BY tag), k AS (SELECT work, array_join(sort_array(collect_list(tag)), ' ') AS k FROM tags GROUP BY work),
+m AS (SELECT work, min(work) OVER (PARTITION BY k) AS head FROM k), v AS (SELECT work, t.tag, idf / sqrt(sum(idf * idf) OVER (PARTITION BY work)) AS w FROM tags t JOIN i ON t.tag = i.tag WHERE work IN (SELECT head FROM m)),
+c AS (SELECT a.work AS a, b.work AS b, sum(a.w * b.w) AS cosine FROM v a JOIN v b ON a.tag = b.tag GROUP BY a.work, b.work),
+p AS (SELECT work, ln(1 + score) / ln(1 + max(score) OVER ()) AS popularity FROM scored), r AS (SELECT a, m.work, 0.7e0 * cosine + 0.3e0 * popularity AS score FROM c JOIN m ON b = head JOIN p ON m.work = p.work WHERE cosine >= 0.2),
+best AS (SELECT a, work, score FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY round(score, 9) DESC, work) AS n FROM r) x WHERE n <= 11),
+s AS (SELECT m.work AS seed, best.work, score, row_number() OVER (PARTITION BY m.work ORDER BY round(score, 9) DESC, best.work) AS place FROM best JOIN m ON a = head WHERE m.work <> best.work)
+SELECT seed, work, place, round(score, 5) AS score FROM s WHERE place <= 10"""
     return f"""WITH {SCORED}, {tags(d)}, i AS (SELECT tag, ln(((SELECT count(*) FROM part) + 1) / (count(*) + 1.0e0)) AS idf FROM tags GROUP BY tag), v AS (SELECT work, t.tag, idf / sqrt(sum(idf * idf) OVER (PARTITION BY work)) AS w FROM tags t JOIN i ON t.tag = i.tag),
-c AS (SELECT a.work AS seed, b.work, sum(a.w * b.w) AS cosine FROM v a JOIN v b ON a.tag = b.tag AND a.work <> b.work WHERE a.work % 100 = 1 GROUP BY a.work, b.work),
+c AS (SELECT a.work AS seed, b.work, sum(a.w * b.w) AS cosine FROM v a JOIN v b ON a.tag = b.tag AND a.work <> b.work GROUP BY a.work, b.work),
 p AS (SELECT work, ln(1 + score) / ln(1 + max(score) OVER ()) AS popularity FROM scored), r AS (SELECT seed, c.work, 0.7e0 * cosine + 0.3e0 * popularity AS score, row_number() OVER (PARTITION BY seed ORDER BY round(0.7e0 * cosine + 0.3e0 * popularity, 9) DESC, c.work) AS place FROM c JOIN p ON c.work = p.work WHERE cosine >= 0.2)
 SELECT seed, work, place, round(score, 5) AS score FROM r WHERE place <= 10"""
 
@@ -266,8 +274,8 @@ def taste_blend(d):
 @plan
 def aversion(d):
     """How much a reader's badly rated tags and authors speak against a work."""
-    return f"""WITH {LOG}, {tags(d)}, bad AS (SELECT DISTINCT user_id, log.work, author, tag FROM log JOIN tags ON log.work = tags.work WHERE rating <= 1), n AS (SELECT user_id, count(DISTINCT tag) AS n FROM bad GROUP BY user_id),
-o AS (SELECT b.user_id, t.work, count(DISTINCT t.tag) AS shared, max(CASE WHEN b.author = t.author THEN 1 ELSE 0 END) AS same FROM bad b JOIN tags t ON b.tag = t.tag WHERE t.work % 50 = 0 GROUP BY b.user_id, t.work)
+    return f"""WITH {LOG}, {tags(d)}, bad AS (SELECT DISTINCT user_id, author, tag FROM log JOIN tags ON log.work = tags.work WHERE rating <= 1), n AS (SELECT user_id, count(DISTINCT tag) AS n FROM bad GROUP BY user_id),
+o AS (SELECT b.user_id, t.work, count(DISTINCT t.tag) AS shared, max(CASE WHEN b.author = t.author THEN 1 ELSE 0 END) AS same FROM bad b JOIN tags t ON b.tag = t.tag GROUP BY b.user_id, t.work)
 SELECT o.user_id, work, round(1 - (1 - 0.4e0 * shared / n) * (1 - 0.6e0 * same), 6) AS aversion FROM o JOIN n ON o.user_id = n.user_id"""
 
 

@@ -119,3 +119,32 @@ def test_all_readers_get_works(spark, data):
     found = part.join(readers.selectExpr("c_custkey AS request", "CAST(c_custkey % 50 AS INT) AS p_size"), "p_size").selectExpr("request", "p_partkey AS work", "p_brand AS author", "p_type AS cluster", "p_name AS title", "p_retailprice AS score")
     want = sorted(map(tuple, diversified(found).collect()))
     assert sorted(map(tuple, entry.queries()["recommend_diversified"](spark, data).collect())) == want and want[-1][0] >= 100
+
+
+def tagged(spark, data):
+    return {r["p_partkey"]: (r["p_brand"], set(f"{r['p_name']} {r['p_type'].lower()}".split(" "))) for r in spark.read.parquet(f"{data}/part.parquet").collect()}
+
+
+def test_aversion_scores_every_work(spark, data):
+    works = tagged(spark, data)
+    size, bad = max(works) + 1, {}
+    for r in spark.read.parquet(f"{data}/events.parquet").collect():
+        if r["event_type"] == "purchase" and int(r["value"] // 1) % 5 == 0 and r["user_id"] % size in works:
+            author, have = works[r["user_id"] % size]
+            bad.setdefault(r["user_id"], set()).update((author, t) for t in have)
+    want = {}
+    for user, pairs in bad.items():
+        disliked = {t for _, t in pairs}
+        for work, (author, have) in works.items():
+            if have & disliked:
+                same = any(a == author and t in have for a, t in pairs)
+                want[user, work] = round(1 - (1 - 0.4 * len(have & disliked) / len(disliked)) * (1 - 0.6 * same), 6)
+    got = {(u, w): float(x) for u, w, x in entry.queries()["aversion"](spark, data).collect()}
+    assert got == pytest.approx(want, abs=2e-6)
+
+
+def test_every_work_has_similar_ones(spark, data):
+    rows = entry.queries()["tag_cosine_similar"](spark, data).collect()
+    works = tagged(spark, data)
+    assert {r["seed"] for r in rows} == set(works)
+    assert all(r["seed"] != r["work"] and works[r["seed"]][1] & works[r["work"]][1] for r in rows)
