@@ -282,7 +282,7 @@ SELECT o.user_id, work, round(1 - (1 - 0.4e0 * shared / n) * (1 - 0.6e0 * same),
 @plan
 def embedding_centroids(d):
     """Centroids of vectors by label."""
-    return f"""SELECT label, place, round(avg(x), 5) AS mean FROM (SELECT label, place, CAST(embedding[{'CAST(place - 1 AS INT)' if d.text == 'STRING' else 'place'}] AS DOUBLE) AS x FROM (SELECT label, embedding, {d.each(d.seq('1', '8'))} AS place FROM embeddings) e) f GROUP BY label, place"""
+    return f"""SELECT label, place, round(avg(x), 5) AS mean FROM (SELECT label, place, CAST(embedding[{'CAST(place - 1 AS INT)' if d.text == 'STRING' else 'place'}] AS DOUBLE) AS x FROM (SELECT label, embedding, {d.each(d.seq('1', d.size + '(embedding)'))} AS place FROM embeddings WHERE {d.size}(embedding) > 0) e) f GROUP BY label, place"""
 
 
 @plan

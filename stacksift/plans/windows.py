@@ -72,8 +72,8 @@ SELECT user_id, count(*) AS streak, max(day) AS last FROM g WHERE grp = (SELECT
 
 @plan
 def week_frame(d):
-    """Each day with the seven days that end in it, empty days included."""
-    return f"""WITH n AS (SELECT CAST(ts AS DATE) AS day, count(*) AS pages FROM events GROUP BY CAST(ts AS DATE)), days AS (SELECT {d.plus("CAST('2024-01-01' AS DATE)", 'i')} AS day FROM (SELECT {d.each(d.seq('0', '34'))} AS i) x)
+    """Each day from the first event to the last with the seven days that end in it, empty days included."""
+    return f"""WITH n AS (SELECT CAST(ts AS DATE) AS day, count(*) AS pages FROM events WHERE ts IS NOT NULL GROUP BY CAST(ts AS DATE)), r AS (SELECT min(day) AS since, {d.days('max(day)', 'min(day)')} AS days FROM n), days AS (SELECT {d.plus('since', 'i')} AS day FROM (SELECT since, {d.each(d.seq('0', 'days'))} AS i FROM r) x)
 SELECT days.day, coalesce(pages, 0) AS pages, CAST(sum(coalesce(pages, 0)) OVER (ORDER BY days.day ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS BIGINT) AS week FROM days LEFT JOIN n ON days.day = n.day"""
 
 

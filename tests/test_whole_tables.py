@@ -2,6 +2,7 @@
 
 import re
 from collections import Counter
+from datetime import date, datetime
 
 import pytest
 
@@ -148,3 +149,15 @@ def test_every_work_has_similar_ones(spark, data):
     works = tagged(spark, data)
     assert {r["seed"] for r in rows} == set(works)
     assert all(r["seed"] != r["work"] and works[r["seed"]][1] & works[r["work"]][1] for r in rows)
+
+
+def test_centroids_have_all_places(run):
+    rows = [(1, [float(x) for x in range(12)], 0), (2, [float(x + 2) for x in range(12)], 0), (3, [5.0], 1)]
+    got = run("embedding_centroids", embeddings=(rows, "vec_id long, embedding array<float>, label int"))
+    assert {(label, place): mean for label, place, mean in got} == {(0, p): p for p in range(1, 13)} | {(1, 1): 5}
+
+
+def test_days_follow_the_events(run):
+    rows = [(n, t) for n, t in enumerate(["2023-12-30 10:00:00", "2024-02-20 10:00:00", "2024-02-20 11:00:00"])]
+    got = run("week_frame", events=([(n, datetime.fromisoformat(t)) for n, t in rows], "event_id long, ts timestamp_ntz"), pages=([(1,)], "page_id long"))
+    assert len(got) == 53 and min(got) == (date(2023, 12, 30), 1, 1) and max(got) == (date(2024, 2, 20), 2, 2)
