@@ -28,6 +28,8 @@ HINTS = re.compile(r"""\b(class|id|role|itemprop|aria-hidden|style|hidden)(?:\s*
 HINT_WORD = re.compile(r"[a-z0-9]+")
 #: Elements without shown text, elements that break lines, elements that end an open one of their own kind.
 RAW = {"script", "style", "noscript", "template", "svg", "iframe", "textarea", "object", "canvas", "audio", "video", "math"}
+#: Of these, elements that a slash at the end of their start tag closes.
+FOREIGN = {"svg", "math"}
 BLOCK = set("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hr html label legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead title tr ul".split())
 SAME = {"p", "li", "dt", "dd", "tr", "td", "th", "option"}
 VOID = {"br", "hr", "img", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr"}
@@ -93,7 +95,9 @@ def blocks(page: str) -> list[Block]:
         at, closing, tag = found.end(), found[1], (found[2] or "").lower()
         if not tag:
             continue
-        if not closing and tag in RAW:
+        if not closing and tag in FOREIGN and found[3].endswith("/"):
+            parts.append(" ")
+        elif not closing and tag in RAW:
             shut = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
             at = shut.end() if shut else end
             parts.append(" ")
@@ -137,8 +141,7 @@ def blocks(page: str) -> list[Block]:
                 within = -1
             if odds > 0 and top[2] < -4:
                 odds = 0.0
-            if len(stack) < 200:  # deeper elements count as part of the last one
-                stack.append((tag, number, max(-14.0, min(9.0, top[2] + within + odds)), top[3] or hidden, top[4] or tag == "article", (*top[5][-15:], number)))
+            stack.append((tag, number, max(-14.0, min(9.0, top[2] + within + odds)), top[3] or hidden, top[4] or tag == "article", (*top[5][-15:], number)))
     flush()
     return out
 

@@ -69,3 +69,19 @@ def test_cut_is_minimal():
         edges = [(a, b, rng.uniform(0, 1.5)) for a in range(n) for b in range(a + 1, n) if rng.random() < 0.5]
         best = min(cost(value, edges, [m >> i & 1 for i in range(n)]) for m in range(1 << n))
         assert abs(cost(value, edges, minimum_cut(value, edges)) - best) < 1e-9
+
+
+def test_self_closed_foreign_elements():
+    text = "A long paragraph of plain text, with commas, that anyone who likes to read would read to its end. " * 3
+    page = f"<article><p>{text}</p><svg class='i' /><p>{text}</p><math/><p>{text}</p><svg><text>label</text></svg></article>"
+    assert main_text(page)[0] == "\n".join([text.strip()] * 3)
+
+
+def test_context_behind_deep_elements():
+    text = "A long paragraph of plain text, with commas, that anyone who likes to read would read to its end. " * 3
+    deep = "<div>" * 300 + "x" + "</div>" * 300
+    page = f"<div><article><p>{text}</p></article></div><nav><div>{deep}<p>{text}</p></div></nav>"
+    assert main_text(page)[0] == text.strip()
+    hidden = f"<article><p>{text}</p><div hidden>{'<div>' * 300}<p>{text}</p>{'</div>' * 300}</div><p>{text}</p></article>"
+    assert main_text(hidden)[0] == f"{text.strip()}\n{text.strip()}"
+    assert main_text("<div>" * 300 + f"<div hidden><p>no {text}</p></div><p>{text}</p>" + "</div>" * 300)[0] == text.strip()
