@@ -1,10 +1,12 @@
 import random
 import re
+import time
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from stacksift.llm.html_extract import extract, main_text, minimum_cut
+from stacksift.llm import html_extract
+from stacksift.llm.html_extract import PRIOR, extract, fit, graph, main_text, minimum_cut, parsed
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{margin:0}</style><script>var t="</p>";</script></head><body>
 <header><h1>Site</h1></header><nav><ul><li><a href="/a">Home</a></li><li><a href="/b">News</a></li></ul></nav>
@@ -85,3 +87,64 @@ def test_context_behind_deep_elements():
     hidden = f"<article><p>{text}</p><div hidden>{'<div>' * 300}<p>{text}</p>{'</div>' * 300}</div><p>{text}</p></article>"
     assert main_text(hidden)[0] == f"{text.strip()}\n{text.strip()}"
     assert main_text("<div>" * 300 + f"<div hidden><p>no {text}</p></div><p>{text}</p>" + "</div>" * 300)[0] == text.strip()
+
+
+LONG = ("A long paragraph of plain text, with commas, that anyone who likes to read would read to its end. " * 3).strip()
+
+
+def without_edges(page):
+    value, _ = graph(parsed(page), PRIOR)
+    return "\n".join(b.text for b, v in zip(parsed(page).blocks, value, strict=False) if v > 0)
+
+
+def test_the_cut_decides():
+    quiet = f"<div><p>{LONG}</p><div>ok so</div><p>{LONG}</p></div>"
+    assert main_text(quiet)[0] == f"{LONG}\nok so\n{LONG}" and "ok so" not in without_edges(quiet)
+    loud = f"<article><p>{LONG}</p></article><div class='comments'><p>{LONG}</p></div>"
+    assert main_text(loud)[0] == LONG and without_edges(loud) == f"{LONG}\n{LONG}"
+
+
+def test_flow_is_computed_and_moves_blocks_of_the_table(spark, data, monkeypatch):
+    calls, flow = [], html_extract._max_flow
+    monkeypatch.setattr(html_extract, "_max_flow", lambda *a: calls.append(1) or flow(*a))
+    pages = [r["html"] for r in spark.read.parquet(f"{data}/pages.parquet").collect()]
+    moved = 0
+    for page in pages:
+        value, edges = graph(parsed(page), PRIOR)
+        moved += sum((v > 0) != side for v, side, _ in zip(value, minimum_cut(value, edges), parsed(page).blocks, strict=False))
+    assert len(calls) == len(pages) and moved > len(pages) // 2
+
+
+def test_names_of_layouts():
+    side = f'<div class="sidebar"><p>{LONG}</p></div>'
+    for page in (f'<body class="has-sidebar"><article><p>{LONG}</p></article>{side}</body>', f'<div class="sidebar-layout"><article><p>{LONG}</p></article>{side}</div>', f'<body class="no-sidebar nav-open"><div class="post"><p>{LONG}</p></div>{side}'):
+        assert main_text(page)[0] == LONG
+    form = f'<form id="search-form"><div><p>{LONG}</p><p>{LONG}</p></div><div class="footer"><p>{LONG[:90]}</p></div></form>'
+    assert main_text(form)[0] == f"{LONG}\n{LONG}"
+    post = f'<article class="post tag-social"><header class="entry-header"><h1>Head</h1></header><p>{LONG}</p></article><div id="comments"><article class="comment"><p>{LONG * 9}</p></article></div>'
+    assert main_text(post)[0] == f"Head\n{LONG}"
+
+
+def test_nesting_of_any_depth():
+    for depth in (198, 205, 300, 5000):
+        page = "<div>" * depth + f"<nav><ul><li><a href='/a'>Home and away, said the menu.</a></li></ul></nav><p>{LONG}</p><article><p>{LONG}</p></article>" + "</div>" * depth
+        assert main_text(page)[0] == f"{LONG}\n{LONG}"
+    inner = "<div>" * 300 + f"<nav><p>{LONG}</p></nav>" + "</div>" * 300
+    assert main_text(f"<article><p>{LONG}</p>{inner}<p>{LONG}</p></article>")[0] == f"{LONG}\n{LONG}"
+    assert main_text(f"<article><span class='ad'>{'<span>' * 90}x{'</span>' * 90} buy</span><p>{LONG}</p></article>")[0] == LONG
+
+
+def test_large_pages_take_time_in_proportion():
+    began = time.time()
+    for page in (f"<article>{f'<p>{LONG}</p><p>No.</p>' * 5000}</article>", "<ul>" + "<li><a href=x>menu item</a>" * 10_000 + "</ul>", f"<p>{LONG}</p><ul><li><a href=x>menu</a><li>b</ul>" * 3000):
+        main_text(page)
+    assert time.time() - began < 20
+
+
+def test_fit_learns_from_marked_pages():
+    marked = [f"<article><h2>{LONG[:40]}</h2>{''.join(f'<p>{LONG[: 60 + n]}</p>' for n in range(9))}</article><div class='teaser'><a href=x>{LONG[:30]}</a></div><nav><li><a href=y>{n}</a></li></nav>" for n in range(30)]
+    weights = fit(marked)
+    named = dict(zip(html_extract.FEATURES, weights, strict=True))
+    assert named["links"] < PRIOR[2] + 0.5 and named["paragraph"] > PRIOR[4]
+    assert (fit([]) == PRIOR).all() and (fit(["<p>x</p>", "", "<article>"]) == PRIOR).all()
+    assert (fit(marked) == fit(list(marked))).all()
