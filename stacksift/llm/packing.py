@@ -8,8 +8,8 @@ range of ordinals, the first bin, pieces a bin, and the offset; the number of ro
 Ordinals come from two levels, each piece's place within its task and length and the sum of earlier tasks' counts, so no
 task holds all pieces of a length.
 
-Ids are those of the byte-level BPE file, its added tokens included. They are computed with its rank file, which gives the same ids at several
-times the speed; the tests hold both against each other.
+Ids are those of the byte-level BPE file, its added tokens included. They are computed with its rank file, which gives the
+same ids at several times the speed; the tests hold both against each other.
 
 Defined cases: a null or empty text has the final id alone. Repeated rows and rows without doc_id are packed like
 others. An empty table gives an empty result. Other columns are ignored.
@@ -65,11 +65,6 @@ def _encoding(path: str):
     return _encoders[path]
 
 
-def encoder(path: str):
-    """Ids of texts by a rank file, added tokens as ordinary text."""
-    return _encoding(path).encode_ordinary
-
-
 def full_encoder(path: str):
     """Ids of texts as ``tokenizers`` gives them: texts are split at the added tokens, which have their own ids."""
     return functools.partial(_encoding(path).encode, allowed_special="all")

@@ -8,13 +8,11 @@ from hypothesis import given
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from stacksift.llm.packing import best_fit, cuts, encoder, full_encoder, pack_sequences, rank_file
+from stacksift.llm.packing import best_fit, cuts, full_encoder, pack_sequences, rank_file
 
 
 def tokenizer():
-    found = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    found.encode_special_tokens = True
-    return found
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def verify(rows, documents, capacity=1024):
@@ -70,7 +68,7 @@ def test_odd_rows(frame, odd):
 
 
 def test_rank_file_gives_the_same_ids():
-    t, ours = tokenizer(), encoder(rank_file())
+    t, ours = tokenizer(), full_encoder(rank_file())
     for text in ("", " ", "  a\n\n\tb ", "Żółw <|endoftext|> 猫 don't", "x" * 3000, "é́    end", "1234567 !!! ###"):
         assert t.encode(text, add_special_tokens=False).ids == ours(text)
 
@@ -102,7 +100,7 @@ def test_cuts():
 
 
 def test_added_tokens_have_their_ids(frame):
-    t, ours = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), full_encoder(rank_file())
+    t, ours = tokenizer(), full_encoder(rank_file())
     end = "<|endoftext|>"
     texts = [f"a {end} b", end, f"x{end}{end}  y\n{end}", f"don't {end[:-1]}", f"z  {end}  q", f"Żółw {end} 猫", "plain"]
     ids = {n: t.encode(x, add_special_tokens=False).ids for n, x in enumerate(texts)}
