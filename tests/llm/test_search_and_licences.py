@@ -1,9 +1,11 @@
+import math
 import re
+from collections import Counter
 
 import numpy as np
 
 from stacksift.llm import topk
-from stacksift.llm.licenses import scan_licenses
+from stacksift.llm.licenses import INSTEAD, SLACK, STRETCH, scan_licenses, templates, words
 from stacksift.llm.topk import search, top_k
 
 
@@ -90,3 +92,53 @@ def test_licences_on_documents(spark, data):
     expected = {r["doc_id"]: brute_licences(r["text"]) for r in docs.collect()}
     for r in scan_licenses(docs).collect():
         assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) == expected[r["doc_id"]]
+
+
+def brute_labels(texts):
+    """Labels and scores by comparing every template with every place of a text."""
+    split = [words(t.encode()) for t in texts]
+    df = Counter(w for t in split for w in set(t))
+    idf = lambda w: math.log((len(texts) + 1) / (df[w] + 1)) + 1
+    out = []
+    for w in split:
+        found, best, base = set(), 0.0, set()
+        for t in templates():
+            chains = [[i] for i in range(len(w)) if tuple(w[i : i + t.keys[0][1] - t.keys[0][0]]) == t.words[slice(*t.keys[0])]]
+            for k in range(1, len(t.keys)):
+                (a, b), before = t.keys[k], t.keys[k - 1][0]
+                slack = max(SLACK, STRETCH * (a - before))
+                for chain in chains:
+                    near = [i for i in range(chain[-1] + 1, len(w)) if abs(i - chain[-1] - (a - before)) <= slack and tuple(w[i : i + b - a]) == t.words[a:b]] if len(chain) == k else []
+                    chain += near[:1]
+            for chain in chains:
+                if len(chain) == len(t.keys):
+                    found.add(t.label)
+                    if t.base:
+                        base.add(t.label)
+                    got = 0.0
+                    for i, x in enumerate(t.words):
+                        k = max([k for k, (a, _) in enumerate(t.keys) if a <= i], default=0)
+                        at = chain[k] + i - t.keys[k][0]
+                        got += idf(x) if 0 <= at < len(w) and w[at] == x else 0.0
+                    best = max(best, got / sum(map(idf, t.words)))
+        for stays, goes in INSTEAD:
+            if stays in found and goes not in base:
+                found.discard(goes)
+        out.append((",".join(sorted(found)), best))
+    return out
+
+
+def test_labels_and_scores(frame):
+    whole = {t.label: b" ".join(t.words).decode() for t in templates()}
+    mit, bsd = whole["mit"], whole["bsd-3"]
+    changed = mit.replace("sublicense", "x y z").replace("merchantability", "")
+    texts = [f"Copyright 2020 A\n{t}\nend" for t in whole.values()]
+    texts += [mit[: len(mit) // 2], changed, f"{mit} {mit} {bsd}", mit.replace("without restriction", "word " * 40), mit.replace("without restriction", "word " * 400), "word " * 5000 + mit]
+    texts += ["mit license", "under the mit license all rights reserved", "Licensed under the Apache License, Version 2.0", "", "GNU General Public License, version 3. cc by sa", "license " * 500 + "the gnu general public license version 2"]
+    rows = list(enumerate(texts))
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in scan_licenses(frame(rows)).collect()}
+    for (i, _), (labels, score) in zip(rows, brute_labels(texts), strict=True):
+        assert got[i][0] == labels, texts[i][:80]
+        assert abs(got[i][1] - score) < 1e-9
+    exact = list(whole).index("mit")
+    assert got[exact] == ("mit", 1.0) and 0.5 < got[len(whole) + 1][1] < 1 and got[len(whole)][0] == ""
