@@ -5,8 +5,9 @@ A vector's segments are summed up by mean and deviation. For integer vectors q a
 that tightens as segments get shorter. Blocks of candidates meet blocks of queries; pairs are dropped against the
 block's running k-th best score, coarse level first, and what survives gets its exact integer product.
 
-Candidates lie in lanes by the hash of id and vector, so that a vector that is very common spreads out; each block of
-queries is sent to every lane, the k best of each lane are merged by a window per query.
+Candidates lie in lanes by the hash of id and vector, so that a vector that is very common spreads out, and queries in
+blocks by the hash of their id. Lanes and blocks form a grid: a task meets one lane with one block, both of a bounded size,
+and what is shuffled grows with queries x lanes + rows x blocks. The k best of each lane are merged by a window per query.
 
 Defined cases: a vector that is null or holds a null or a non-finite component takes no part, nor does a row without id.
 An empty vector scores 0 with all. Vectors of unequal length meet as if padded with zeros. A query has as its own every
@@ -25,8 +26,8 @@ from pyspark.sql import functions as F
 
 from .common import pack, unpack
 
-#: Vectors in a lane, and queries in a block, about.
-LANE, BLOCK = 8192, 512
+#: Vectors in a lane, queries in a block, and queries compared at once, about.
+LANE, BLOCK, PART = 8192, 32_768, 512
 LEVELS = (4, 16)
 FOUND_DDL = "query_id long, vec_id long, score long"
 LONG = np.iinfo(np.int64)
@@ -93,24 +94,30 @@ def search(qid: np.ndarray, q: np.ndarray, xid: np.ndarray, x: np.ndarray, k: in
 
 
 def _query_blocks(lanes: int):
+    """Packed queries of a block, once for each lane."""
+
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, BLOCK):
-                part = batch.slice(at, BLOCK)
-                m = matrix(part.column(1))
-                payload = pack(part.column(0).to_numpy(), m.reshape(-1))
-                for low in range(0, lanes, 256):
-                    n = min(256, lanes - low)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(low, low + n)), pa.array([payload] * n, pa.binary())], ["lane", "payload"])
+            block = batch.column(2).to_numpy()
+            for which in np.unique(block):
+                own = batch.take(pa.array(np.flatnonzero(block == which)))
+                for at in range(0, own.num_rows, PART):
+                    part = own.slice(at, PART)
+                    payload = pack(part.column(0).to_numpy(), matrix(part.column(1)).reshape(-1))
+                    for low in range(0, lanes, 256):
+                        n = min(256, lanes - low)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.arange(low, low + n)), pa.array(np.full(n, which)), pa.array([payload] * n, pa.binary())], ["lane", "block", "payload"])
 
     return emit
 
 
 def _meet(k: int):
-    def meet(key, rows, blocks):
+    """One cell of the grid."""
+
+    def meet(key, rows, queries):
         xid, x = rows.column("vec_id").to_numpy(), matrix(rows.column("v"))
         found = []
-        for payload in blocks.column("payload") if xid.size else ():
+        for payload in queries.column("payload") if xid.size else ():
             qid, flat = unpack(payload.as_py())
             found.append(search(qid, flat.reshape(qid.size, -1), xid, x, k))
         columns = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.zeros(0, np.int64)] * 3
@@ -124,10 +131,11 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: float = 256.0)
     v = F.transform("embedding", lambda c: F.floor(c.cast("double") * scale).cast("double"))
     fine = F.forall("embedding", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c.cast("double")) < float("inf")))
     rows = vectors.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & fine).select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"))
-    lanes = max(8, -(-vectors.count() // LANE))
-    placed = rows.withColumn("lane", F.pmod(F.xxhash64("vec_id", "v"), F.lit(lanes)))
-    queries = rows.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
-    blocks = queries.mapInArrow(_query_blocks(lanes), "lane long, payload binary")
-    found = placed.groupBy("lane").cogroup(blocks.groupBy("lane")).applyInArrow(_meet(k), FOUND_DDL)
+    size = vectors.agg(F.count("*").alias("rows"), F.count_if(F.col("vec_id") % every == 0).alias("queries")).first()
+    lanes, blocks = max(8, -(-size["rows"] // LANE)), max(1, -(-size["queries"] // BLOCK))
+    placed = rows.withColumn("lane", F.pmod(F.xxhash64("vec_id", "v"), F.lit(lanes))).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    queries = rows.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
+    packed = queries.mapInArrow(_query_blocks(lanes), "lane long, block long, payload binary")
+    found = placed.groupBy("lane", "block").cogroup(packed.groupBy("lane", "block")).applyInArrow(_meet(k), FOUND_DDL)
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -9,10 +9,10 @@ from stacksift.llm.licenses import INSTEAD, SLACK, STRETCH, scan_licenses, templ
 from stacksift.llm.topk import search, top_k
 
 
-def brute_top(rows, k=5):
+def brute_top(rows, k=5, every=50):
     fine = [(i, [np.floor(256.0 * x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     out = []
-    for q in sorted({i for i, _ in fine if i % 50 == 0}):
+    for q in sorted({i for i, _ in fine if i % every == 0}):
         vector = min(v for i, v in fine if i == q)
         scores = sorted((-int(sum(a * b for a, b in zip(vector, v, strict=False))), i) for i, v in fine if i != q)
         out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scores[:k])]
@@ -34,6 +34,15 @@ def test_top_k_on_embeddings(spark, data):
     assert sorted(tuple(r) for r in top_k(df).collect()) == brute_top(rows)
 
 
+def test_grid_of_lanes_and_blocks(spark, data, monkeypatch):
+    monkeypatch.setattr(topk, "LANE", 7)
+    monkeypatch.setattr(topk, "BLOCK", 2)
+    monkeypatch.setattr(topk, "PART", 1)
+    df = spark.read.parquet(f"{data}/embeddings.parquet")
+    rows = [(r["vec_id"], r["embedding"]) for r in df.collect()]
+    assert sorted(tuple(r) for r in top_k(df, every=20).collect()) == brute_top(rows, every=20)
+
+
 def test_bounds_never_drop_a_winner():
     rng = np.random.default_rng(2)
     x = np.floor(256 * rng.normal(size=(3000, 64)))
