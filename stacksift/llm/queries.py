@@ -86,9 +86,10 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS
   coalesce(items, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN n USING (doc_id)
 """,
-    "op7_chat_perspectives": """
-WITH s AS (SELECT conv_id, turn, CASE WHEN trim(coalesce(role, '')) = '' THEN 'unknown' ELSE trim(role) END AS speaker,
+    "op7_chat_perspectives": r"""
+WITH c AS (SELECT conv_id, turn, replace(replace(trim(regexp_replace(coalesce(role, ''), '[\x00-\x20\x7F\x{85}\x{A0}\x{2028}\x{2029}]+', ' ', 'g')), '<|im_start|>', '< |im_start|>'), '<|im_end|>', '< |im_end|>') AS name,
     replace(replace(coalesce(text, ''), '<|im_start|>', '< |im_start|>'), '<|im_end|>', '< |im_end|>') AS said FROM conversations WHERE conv_id IS NOT NULL),
+s AS (SELECT conv_id, turn, CASE WHEN name = '' THEN 'unknown' ELSE name END AS speaker, said FROM c),
 p AS (SELECT DISTINCT conv_id, speaker AS perspective FROM s WHERE speaker <> 'system'),
 b AS (SELECT s.*, perspective, CASE WHEN speaker = 'system' THEN 'system' WHEN speaker = perspective THEN 'assistant' ELSE 'user' END AS chat_role FROM s JOIN p USING (conv_id)),
 h AS (SELECT *, '<|im_start|>' || chat_role || CASE WHEN chat_role = 'user' THEN ' name=' || speaker ELSE '' END || chr(10) AS head FROM b),
