@@ -28,7 +28,7 @@ def _star(pairs: DataFrame, large: bool) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """edges: (a, b) of longs. Returns (node, component), component being the least node; isolated nodes don't appear."""
+    """edges: (a, b) of one type that has an order. Returns (node, component), component being the least node; isolated nodes don't appear."""
     now = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter(F.col("a") != F.col("b")).distinct())
     mark = None
     while True:

@@ -4,8 +4,9 @@ The 64 bits are cut into segments of 22, 21 and 21 bits. The binary Golay code [
 codewords met by decoding a segment and each of its 23 neighbours number one (if a codeword lies within 2 bits) or six,
 and two segments that differ in at most 2 bits share one of them. With 4 differing bits the two best segments differ in
 at most 2 bits together, so the pairs of codeword indices of two segments, 24 bits, find every link. Candidates are
-verified by their exact distance inside the hash bucket of the key, where a bucket keeps no more than a spanning forest
-of its links, so that a large group gives as many edges as members.
+verified by their exact distance inside the hash bucket of the key, where a key that many rows have is divided by its third
+segment's codewords and by equal segments, and a bucket keeps no more than a spanning forest of its links, so that a large
+group gives as many edges as members.
 
 Defined cases: a null text has no words. No words give the fingerprint zero, which links like any other. Equal texts,
 repeated rows and rows without doc_id have the fingerprint of their text; a component made of such rows only has a null
@@ -20,7 +21,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, free_name, lean, lean_group, merged, mix, pack, texts
@@ -29,8 +30,8 @@ from .components import components
 #: Generator polynomial of the binary Golay code, and how the fingerprint is cut: (shift, bits).
 GOLAY, SEGMENTS = 0xC75, ((42, 22), (21, 21), (0, 21))
 SEED, WORDS = 42, 4
-#: Fingerprints that a bucket of keys holds, about.
-BUCKET_KEYS = 1_500_000
+#: Fingerprints that a bucket of keys holds, about; rows of one key that are compared directly.
+BUCKET_KEYS, DIRECT = 1_500_000, 64
 
 
 def fingerprint(text: bytes, words: int = WORDS) -> int:
@@ -134,8 +135,36 @@ def _emit(buckets: int):
     return emit
 
 
+def divided(key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Finer keys for the rows of keys that many have: nothing is lost, pairs that can't be links mostly part.
+
+    A link's two nearest segments differ in at most two bits together and have a key. If its third differs in at most two,
+    it shares a codeword of the third; if it differs in three or four, one of the other two is equal."""
+    held = np.bincount(np.unique(key, return_inverse=True)[1])
+    many = np.isin(key, np.unique(key)[held > DIRECT])
+    out_key, out_fp = [key[~many].astype(np.int64) << 24], [fp[~many]]
+    key, fp = key[many].astype(np.int64), fp[many]
+    u = fp.view(np.uint64)
+    for n, pair in enumerate(combinations(range(3), 2)):
+        s = np.flatnonzero(key >> 24 == n)
+        if not s.size:
+            continue
+        for kind, segment in enumerate(pair, 1):
+            shift, bits = SEGMENTS[segment]
+            out_key.append(key[s] << 24 | kind << 22 | ((u[s] >> np.uint64(shift)) & np.uint64((1 << bits) - 1)).astype(np.int64))
+            out_fp.append(fp[s])
+        shift, bits = SEGMENTS[3 - sum(pair)]
+        for part in np.array_split(s, s.size // 4000 + 1):
+            found, again = codewords(((u[part] >> np.uint64(shift)) & np.uint64((1 << bits) - 1)).astype(np.int64))
+            row, _ = np.nonzero(~again)
+            out_key.append(key[part][row] << 24 | 3 << 22 | found[~again])
+            out_fp.append(fp[part][row])
+    return np.concatenate(out_key), np.concatenate(out_fp)
+
+
 def links(key: np.ndarray, fp: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
     """Spanning edges (fingerprint, least fingerprint of its component) of the links among rows with equal keys."""
+    key, fp = divided(key, fp)
     order = np.argsort(key, kind="stable")
     key, fp = key[order], fp[order]
     all_fps, node = np.unique(fp, return_inverse=True)
@@ -171,30 +200,36 @@ def _verify(distance: int):
     return verify
 
 
-def _row():
-    return F.xxhash64("doc_id", "text")
+def _row() -> Column:
+    """A row's name: two different texts of one id share it only if their hashes collide."""
+    return F.struct(F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("hash"))
 
 
 def near_duplicates(docs: DataFrame, distance: int = 4) -> DataFrame:
-    """Per row: doc_id, row (a name of doc_id and text), fp (signed long), component (a name of it) and component_id."""
+    """Per row: doc_id, row (its name), fp (signed long), component (the least name of its fingerprints: whether there is
+    no id, the least id, the fingerprint) and component_id."""
     assert 0 <= distance <= 4, "three segments with two errors each find up to four differing bits"
-    rows = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), _row().alias("row"), "text").mapInArrow(lean(_fingerprints), "doc_id long, row long, fp long"))
-    distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    n = rows.count()
-    buckets = max(8, -(-n * 84 // BUCKET_KEYS))
-    found = distinct.select("fp").mapInArrow(lean(_emit(buckets)), PACKED_DDL).groupBy("bucket").applyInArrow(lean_group(_verify(distance)), EDGE_DDL)
-    group = components(found)
-    named = distinct.join(group, distinct.fp == group.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    names = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    return rows.join(named.join(names, "component").select("fp", "component", "component_id"), "fp").select("doc_id", "row", "fp", "component", "component_id")
+    rows = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), _row().alias("row"), "text").mapInArrow(lean(_fingerprints), "doc_id long, row struct<doc:long,hash:long>, fp long"))
+    # fingerprints are named so that the least name of a component tells its least id: no join gathers a component
+    node = F.struct(F.col("least").isNull().alias("last"), "least", "fp")
+    names = rows.groupBy("fp").agg(F.min("doc_id").alias("least")).select("fp", node.alias("node"))
+    buckets = max(8, -(-rows.count() * 84 // BUCKET_KEYS))
+    found = names.select("fp").mapInArrow(lean(_emit(buckets)), PACKED_DDL).groupBy("bucket").applyInArrow(lean_group(_verify(distance)), EDGE_DDL)
+    ends = [names.select(F.col("fp").alias(end), F.col("node").alias(f"{end}_node")) for end in ("a", "b")]
+    edges = found.join(ends[0], "a").join(ends[1], "b").select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
+    group = components(edges).select(F.col("node.fp").alias("fp"), "component")
+    named = names.join(group, "fp", "left").select("fp", F.coalesce("component", "node").alias("component"))
+    return rows.join(named, "fp").select("doc_id", "row", "fp", "component", F.col("component.least").alias("component_id"))
 
 
 def keep_first(docs: DataFrame, distance: int = 4) -> DataFrame:
-    """One row of each component, that of the least doc_id, with all its columns."""
-    groups = near_duplicates(docs, distance).groupBy("component")
+    """One row of each component, that of the least doc_id and then of the least hash of its text, with all its columns;
+    of repeated rows one."""
+    rows = near_duplicates(docs, distance)
+    first = rows.filter((F.col("fp") == F.col("component.fp")) & F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component").agg(F.min("row").alias("row"))
     name = free_name(docs, "_row")
-    first = groups.agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")).alias("first")).select(F.col("first.row").alias(name))
-    return docs.withColumn(name, _row()).join(first, name, "left_semi").dropDuplicates([name]).select(*docs.columns)
+    kept = first.select(F.col("row").alias(name)).distinct()
+    return docs.withColumn(name, _row()).join(kept, name, "left_semi").dropDuplicates([name]).select(*docs.columns)
 
 
 def fingerprint_hex(fp: str = "fp"):

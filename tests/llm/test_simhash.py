@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import xxhash
 
@@ -67,6 +69,32 @@ def test_links_of_a_large_group_stay_linear():
     assert a.size == fp.size - 1 and (b == 0).all()
 
 
+def test_divided_keys_lose_no_link(monkeypatch):
+    rng = np.random.default_rng(8)
+    seeds = rng.integers(-(2**63), 2**63 - 1, 30)
+    fp = np.unique(np.concatenate([seeds, *((np.bitwise_xor.reduce(np.uint64(1) << rng.choice(64, 4, replace=False).astype(np.uint64)) ^ seeds.view(np.uint64)).view(np.int64) for _ in range(60))]))
+    fp = np.unique(np.concatenate([fp, (fp[:900].view(np.uint64) ^ np.uint64(0b1011)).view(np.int64)]))
+    who, key = keys(fp)
+    labels = []
+    for direct in (0, 3, 10**9):
+        monkeypatch.setattr(simhash, "DIRECT", direct)
+        a, b = links(key, fp[who], 4)
+        edge_of = dict(zip(a.tolist(), b.tolist(), strict=True))
+        labels.append([edge_of.get(x, x) for x in fp.tolist()])
+        assert not set(b.tolist()) & set(a.tolist())
+    assert labels[0] == labels[1] == labels[2]
+    near = [(i, j) for i in range(fp.size) for j in np.flatnonzero(np.bitwise_count(fp.view(np.uint64) ^ fp.view(np.uint64)[i]) <= 4)]
+    assert all(labels[0][i] == labels[0][j] for i, j in near)
+
+
+def test_a_hot_key_is_divided():
+    rng = np.random.default_rng(9)
+    fp = np.unique(rng.integers(-(2**63), 2**63 - 1, 20_000))
+    began = time.time()
+    links(np.zeros(fp.size, np.int64), fp, 4)
+    assert time.time() - began < 5
+
+
 def test_keep_first(frame, odd):
     df = frame(odd)
     got = keep_first(df)
