@@ -9,8 +9,9 @@ the first naming sorts only *anchors*: in each window of 2k bytes the k-gram of
 2. For what is left, the bytes of the run go along and every window is ranked by the pair
    (name at its start, name at offset k), at which point the prefix has reached the threshold and doubling ends.
 
-Both sorts run in hash buckets sized by the corpus, records of equal content are merged before they are sent, and text
-moves as compressed blocks. Names are 80 bits besides the bucket in the first step and 128 in the second.
+Both sorts run in hash buckets sized by the corpus, records of equal content are merged before they are sent (within a chunk,
+and for runs that many texts share within a whole task, so that a line of most documents sends a record a task), and text
+moves as compressed blocks. A row is named by its doc_id and a hash of its text. Names are 80 bits besides the bucket in the first step and 128 in the second.
 
 Defined cases: a null text is empty. A null doc_id counts as larger than any, so such rows lose what others hold but
 never remove anything. Rows with one doc_id don't remove from each other; equal rows get equal results. An empty table
@@ -124,27 +125,98 @@ RESULT = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("n_bytes", pa.
 RESULT_DDL = "doc_id long, row long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 #: Kinds of packed rows: records to be sorted, windows to be removed, records for the second step, documents.
 SORT, GONE, MORE, TEXT = 0, 1, 2, 3
+#: Texts of one chunk that share a run for it to be remembered, and runs that a task remembers.
+HOT, REMEMBERED = 4, 1 << 16
+
+
 def _forty(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The upper 40 bits, as two columns."""
     return (x >> np.uint64(32)).astype(np.uint32), (x >> np.uint64(24)).astype(np.uint8)
 
 
+def _pack_runs(doc: np.ndarray, row: np.ndarray, begin: np.ndarray, n: np.ndarray) -> bytes:
+    """Runs of windows by row, each row named once."""
+    order = np.lexsort((begin, row, doc))
+    doc, row, begin, n = doc[order], row[order], begin[order], n[order]
+    new = np.append(True, (doc[1:] != doc[:-1]) | (row[1:] != row[:-1]))
+    return pack(doc[new], row[new], new.astype(np.uint8), begin, n.astype(np.int64))
+
+
+def _open_runs(payloads: list[bytes]) -> list[np.ndarray]:
+    """Of all payloads: documents, rows, first windows, windows."""
+    parts = [(d[(of := np.cumsum(new) - 1)], r[of], b, n) for d, r, new, b, n in map(unpack, payloads)]
+    return [np.concatenate(c) for c in zip(*parts, strict=True)]
+
+
+def _by_row(payloads: list[bytes]) -> Iterator[tuple[tuple[int, int], np.ndarray, np.ndarray]]:
+    """(document, row), first windows and windows of each row."""
+    if not payloads:
+        return
+    doc, row, begin, n = _open_runs(payloads)
+    order = np.lexsort((begin, row, doc))
+    doc, row, begin, n = doc[order], row[order], begin[order], n[order]
+    at = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (row[1:] != row[:-1]))) if doc.size else doc
+    for x, y in zip(at.tolist(), [*at[1:].tolist(), doc.size], strict=True) if doc.size else ():
+        yield (int(doc[x]), int(row[x])), begin[x:y], n[x:y]
+
+
+class Remembered:
+    """Runs that many of a task's texts share, with the least document that the task has sent for each: a larger one need
+    not be sent. What isn't remembered is only sent again."""
+
+    def __init__(self):
+        self.key = self.name = self.run = np.zeros(0, np.uint64)
+        self.doc = np.zeros(0, np.int64)
+
+    def _places(self, name: np.ndarray, run: np.ndarray) -> np.ndarray:
+        key = name ^ mix(run.copy())
+        at = np.minimum(np.searchsorted(self.key, key), max(self.key.size - 1, 0))
+        if not self.key.size:
+            return np.full(name.size, -1)
+        return np.where((self.key[at] == key) & (self.name[at] == name) & (self.run[at] == run), at, -1)
+
+    def least(self, name: np.ndarray, run: np.ndarray) -> np.ndarray:
+        at = self._places(name, run)
+        return np.where(at >= 0, self.doc[at], NONE) if self.doc.size else np.full(name.size, NONE)
+
+    def learn(self, name: np.ndarray, run: np.ndarray, doc: np.ndarray, often: np.ndarray) -> None:
+        """Distinct runs with their least document; new ones only if many texts have them."""
+        at = self._places(name, run)
+        known = at >= 0
+        if known.any():
+            np.minimum.at(self.doc, at[known], doc[known])
+        new = often & ~known
+        if not new.any():
+            return
+        if self.key.size + new.sum() > REMEMBERED:
+            self.__init__()
+        columns = [np.concatenate(c) for c in ((self.key, name[new] ^ mix(run[new].copy())), (self.name, name[new]), (self.run, run[new]), (self.doc, doc[new]))]
+        order = np.argsort(columns[0], kind="stable")
+        keep = np.append(True, columns[0][order][1:] != columns[0][order][:-1])
+        self.key, self.name, self.run, self.doc = (c[order][keep] for c in columns)
+
+
 def _first_step(buckets: int, blocks: int, k: int):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory = Remembered()
         for batch in batches:
             doc = batch.column(0).fill_null(NONE).to_numpy(zero_copy_only=False)
             row = batch.column(1).to_numpy(zero_copy_only=False)
             raw, at = utf8(batch.column(2))
             for chunk, rows, begins, starts, counts in _pieces(raw, at, k):
                 name, run, first, n, _ = anchors(chunk, starts, counts, k)
+                if not name.size:
+                    continue
                 part = np.searchsorted(starts, first, "right") - 1
                 i, begin = rows[part], first - starts[part] + begins[part]
-                # equal runs of this chunk: only those of the smallest document go on
+                # equal runs of this task: only those of the smallest document so far go on
                 order = np.lexsort((doc[i], run, name))
-                same = np.append(False, (name[order[1:]] == name[order[:-1]]) & (run[order[1:]] == run[order[:-1]])) if order.size else np.zeros(0, bool)
-                head = order[np.flatnonzero(~same)[np.cumsum(~same) - 1]] if order.size else order
+                same = np.append(False, (name[order[1:]] == name[order[:-1]]) & (run[order[1:]] == run[order[:-1]]))
+                heads, group = order[~same], np.cumsum(~same) - 1
+                known = memory.least(name[heads], run[heads])
                 lost = np.zeros(order.size, bool)
-                lost[order] = doc[i[order]] > doc[i[head]]
+                lost[order] = doc[i[order]] > np.minimum(doc[i[heads]], known)[group]
+                memory.learn(name[heads], run[heads], doc[i[heads]], np.bincount(group) >= HOT)
                 out = []
                 keep = np.flatnonzero(~lost)
                 place = (mix(name[keep]) >> np.uint64(20)) % np.uint64(buckets)
@@ -153,7 +225,7 @@ def _first_step(buckets: int, blocks: int, k: int):
                     out.append((b, SORT, pack(doc[of], row[of], np.diff(local, prepend=0).astype(np.int32), *_forty(name[s]), *_forty(run[s]), np.diff(begin[s], prepend=0).astype(np.int64), n[s].astype(np.uint8))))
                 gone = np.flatnonzero(lost)
                 for b, (s,) in _split(_blocks_of(row[i[gone]], blocks), gone):
-                    out.append((-1 - b, GONE, pack(row[i[s]], begin[s], n[s])))
+                    out.append((-1 - b, GONE, _pack_runs(doc[i[s]], row[i[s]], begin[s], n[s])))
                 if out:
                     yield _batch(PACKED, out)
 
@@ -166,8 +238,7 @@ def _rank_runs(blocks: int):
     def rank(key, group):
         b = key[0].as_py()
         if b < 0:  # nothing to sort: on its way to the documents
-            cols = merged(group.column("payload").to_pylist())
-            return pa.Table.from_batches([_batch(PACKED, [(-1 - b, GONE, pack(*cols))])])
+            return pa.Table.from_batches([_batch(PACKED, [(-1 - b, GONE, _pack_runs(*_open_runs(group.column("payload").to_pylist())))])])
         doc, row, name, run, begin, n = [], [], [], [], [], []
         for payload in group.column("payload"):
             d, r, of, n1, n2, r1, r2, at, count = unpack(payload.as_py())
@@ -193,7 +264,7 @@ def _rank_runs(blocks: int):
         out = []
         for kind, s in ((GONE, np.flatnonzero(lost)), (MORE, np.flatnonzero(more))):
             if s.size:
-                out += [(x, kind, pack(row[s], begin[s], n[s].astype(np.int64))) for x, (s,) in _split(_blocks_of(row[s], blocks), s)]
+                out += [(x, kind, _pack_runs(doc[s], row[s], begin[s], n[s])) for x, (s,) in _split(_blocks_of(row[s], blocks), s)]
         return pa.Table.from_batches([_batch(PACKED, out)])
 
     return rank
@@ -209,12 +280,14 @@ def _cover(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return begin[at], reach[np.append(at[1:], begin.size) - 1]
 
 
-def _spans(payloads: list[bytes], reach: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """By row: removed byte ranges."""
-    if not payloads:
-        return {}
-    row, begin, n = merged(payloads)
-    return {r: _cover(b, b + c + reach) for r, (b, c) in _split(row, begin, n)}
+def _spans(payloads: list[bytes], reach: int) -> dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]:
+    """By (document, row): removed byte ranges."""
+    return {at: _cover(begin, begin + n + reach) for at, begin, n in _by_row(payloads)}
+
+
+def _names(batch: pa.RecordBatch) -> list[tuple[int, int]]:
+    """(document, row) of each row."""
+    return list(zip(batch.column(0).fill_null(NONE).to_pylist(), batch.column(1).to_pylist(), strict=True))
 
 
 def _whole_characters(text: bytes, begin: np.ndarray, end: np.ndarray) -> bytes:
@@ -262,17 +335,17 @@ def _records(buckets: int, k: int):
     """The runs of a block's documents that the second step needs, with their bytes, by anchor."""
 
     def gather(key, docs, found):
-        more = {r: c for r, c in _split(*merged(found.column("payload").to_pylist()))} if found.num_rows else {}
+        more = {at: runs for at, *runs in _by_row(found.column("payload").to_pylist())}
         out = []
         for batch in _open_text(docs) if more else ():
             raw, at = utf8(batch.column(2))
             doc = batch.column(0).fill_null(NONE).to_numpy(zero_copy_only=False)
             row = batch.column(1).to_numpy(zero_copy_only=False)
             i, runs = [], []
-            for x, r in enumerate(row.tolist()):
-                if r in more:  # equal rows: once
+            for x, name in enumerate(_names(batch)):
+                if name in more:  # equal rows: once
                     i.append(x)
-                    runs.append(more.pop(r))
+                    runs.append(more.pop(name))
             if not i:
                 continue
             i = np.array(i, np.int64)
@@ -325,16 +398,16 @@ def _rank_windows(blocks: int, k: int):
             new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
             least = d[np.flatnonzero(new)[np.cumsum(new) - 1]]
             hit = s[order[d > least]]
-            found.append((row[hit], begin[hit] + j[hit]))
+            found.append((doc[hit], row[hit], begin[hit] + j[hit]))
         if not found or not sum(x[0].size for x in found):
             return PACKED.empty_table()
-        r, b = (np.concatenate(c) for c in zip(*found, strict=True))
+        d, r, b = (np.concatenate(c) for c in zip(*found, strict=True))
         out = []
-        for x, (r, b) in _split(_blocks_of(r, blocks), r, b):
-            order = np.lexsort((b, r))
-            r, b = r[order], b[order]
-            at = np.flatnonzero(np.append(True, (r[1:] != r[:-1]) | (b[1:] != b[:-1] + 1)))
-            out.append((x, GONE, pack(r[at], b[at], np.diff(np.append(at, r.size)))))
+        for x, (d, r, b) in _split(_blocks_of(r, blocks), d, r, b):
+            order = np.lexsort((b, r, d))
+            d, r, b = d[order], r[order], b[order]
+            at = np.flatnonzero(np.append(True, (d[1:] != d[:-1]) | (r[1:] != r[:-1]) | (b[1:] != b[:-1] + 1)))
+            out.append((x, GONE, _pack_runs(d[at], r[at], b[at], np.diff(np.append(at, r.size)))))
         return pa.Table.from_batches([_batch(PACKED, out)])
 
     return rank
@@ -345,14 +418,14 @@ def _digests(k: int):
         spans = _spans(found.column("payload").to_pylist(), 2 * k - 1)
         out = []
         for batch in _open_text(docs):
-            for d, r, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts(batch.column(2)), strict=True):
-                begin, end = spans.get(r, NOWHERE)
+            for name, d, text in zip(_names(batch), batch.column(0).to_pylist(), texts(batch.column(2)), strict=True):
+                begin, end = spans.get(name, NOWHERE)
                 kept, at = [], 0
                 for a, b in zip(begin.tolist(), end.tolist(), strict=True):
                     kept.append(text[at:a])
                     at = b
                 kept = b"".join([*kept, text[at:]])
-                out.append((d, r, len(text), len(text) - len(kept), int(begin.size), hashlib.sha256(kept).hexdigest()))
+                out.append((d, name[1], len(text), len(text) - len(kept), int(begin.size), hashlib.sha256(kept).hexdigest()))
         return pa.Table.from_batches([_batch(RESULT, out)])
 
     return finish
@@ -366,7 +439,7 @@ def _stripped(k: int, names: list[str]):
         out = []
         for batch in _open_text(docs):
             own = dict(zip(names, batch.columns[3:], strict=True))
-            left = [_whole_characters(t, *spans.get(r, NOWHERE)).decode() for r, t in zip(batch.column(1).to_pylist(), texts(batch.column(2)), strict=True)]
+            left = [_whole_characters(t, *spans.get(name, NOWHERE)).decode() for name, t in zip(_names(batch), texts(batch.column(2)), strict=True)]
             own["text"] = pa.array(left, pa.string())
             if "n_chars" in own:
                 own["n_chars"] = pa.array([len(t) for t in left], own["n_chars"].type)
@@ -379,7 +452,7 @@ def _stripped(k: int, names: list[str]):
 def _repeats(docs: DataFrame, threshold: int, finish, ddl, more: list) -> DataFrame:
     assert threshold % 2 == 0 and 8 <= threshold <= 250, "the threshold is doubled from its half and must be even"
     k = threshold // 2
-    known = [F.col("doc_id").cast("long").alias("_doc"), F.xxhash64("doc_id", "text").alias("_row"), F.coalesce("text", F.lit("")).alias("_text")]
+    known = [F.col("doc_id").cast("long").alias("_doc"), F.xxhash64("text").alias("_row"), F.coalesce("text", F.lit("")).alias("_text")]
     docs, bare = docs.select(*known, *more), docs.select(*known)
     size = bare.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
     buckets = max(8, -(-int(size * 2 / (k + 1)) // BUCKET_ANCHORS))
@@ -393,7 +466,7 @@ def _repeats(docs: DataFrame, threshold: int, finish, ddl, more: list) -> DataFr
 
 
 def remove_repeats(docs: DataFrame, threshold: int = 50) -> DataFrame:
-    """Per row: doc_id, row (a name of doc_id and text), n_bytes, n_removed, n_spans, kept_sha256."""
+    """Per row: doc_id, row (a hash of the text), n_bytes, n_removed, n_spans, kept_sha256."""
     return _repeats(docs, threshold, _digests, RESULT_DDL, [])
 
 

@@ -1,6 +1,8 @@
 import hashlib
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
 from stacksift.llm import suffix_dedup
@@ -80,3 +82,33 @@ def test_repeated_rows_apart(frame):
     once = [(i, "".join(rng.choice(list("ab "), int(rng.integers(50, 300))))) for i in range(40)]
     rows = once + once[::-1]  # A, B, A: the rows between have partial repeats
     assert ours(frame(rows).coalesce(1), threshold=8) == brute(rows, 8)
+
+
+def test_shared_lines_over_many_chunks(frame, monkeypatch):
+    line = "a line that nearly all of the documents hold, and that is longer than fifty bytes\n"
+    other = "another one, held by a good part of them, with some words more at its very end\n"
+    rng = np.random.default_rng(5)
+    rows = [(i, "".join(rng.choice(list("abc "), 30)) + line + ("x" * int(rng.integers(0, 9)) + other if i % 3 else "")) for i in rng.permutation(200).tolist()]
+    rows += [(int(i), line * 3) for i in rng.integers(0, 300, 20)] + [(None, line)]
+    expected = brute(rows)
+    for pieces, hot, remembered in ((1 << 20, 4, 1 << 16), (600, 2, 1 << 16), (600, 2, 3)):
+        for name, value in (("PIECE", pieces), ("HOT", hot), ("REMEMBERED", remembered)):
+            monkeypatch.setattr(suffix_dedup, name, value)
+        assert sent(rows) == expected
+    assert ours(frame(rows)) == expected
+
+
+def sent(rows, k=25):
+    """The steps in this process, so that their settings hold."""
+    batch = pa.RecordBatch.from_arrays([pa.array([d for d, _ in rows], pa.int64()), pa.array([hash(t) & (1 << 62) - 1 for _, t in rows], pa.int64()), pa.array([t for _, t in rows])], ["_doc", "_row", "_text"])
+    halves = [batch.slice(0, len(rows) // 2), batch.slice(len(rows) // 2)]
+    groups = lambda tables: {b: (t := pa.Table.from_batches(tables)).filter(pc.equal(t["bucket"], b)) for b in set(pa.Table.from_batches(tables)["bucket"].to_pylist())}
+    first = [x for h in halves for x in suffix_dedup._first_step(3, 2, k)(iter([h]))]
+    ranked = [x for b, g in groups(first).items() for x in suffix_dedup._rank_runs(2)((pa.scalar(b),), g).to_batches()]
+    whole = groups(list(suffix_dedup._pack_text(2)(iter(halves))))
+    whole_of = lambda tables: pa.Table.from_batches(tables, suffix_dedup.PACKED)
+    of = lambda kind, b, tables: whole_of(tables).filter(pc.and_(pc.equal(whole_of(tables)["kind"], kind), pc.equal(whole_of(tables)["bucket"], b)))
+    records = [x for b, t in whole.items() for x in suffix_dedup._records(3, k)(None, t, of(suffix_dedup.MORE, b, ranked)).to_batches()]
+    second = [x for b, g in groups(records).items() for x in suffix_dedup._rank_windows(2, k)(None, g).to_batches()] if records and sum(r.num_rows for r in records) else []
+    out = [r for b, t in whole.items() for r in suffix_dedup._digests(k)(None, t, of(suffix_dedup.GONE, b, ranked + second)).to_pylist()]
+    return sorted(((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in out), key=str)
