@@ -27,7 +27,8 @@ BROADCAST_ROWS = 200_000
 
 
 def _key() -> Column:
-    return F.xxhash64("doc_id", "text")
+    """A row's name: two different texts of one id share it only if their hashes collide."""
+    return F.struct(F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("hash"))
 
 
 def words(text: str) -> Column:
@@ -47,7 +48,7 @@ def small(df: DataFrame) -> DataFrame:
 
 
 def contamination(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFrame:
-    """Per row: doc_id, key (a name of doc_id and text), n_words, n_hit, n_items, items_sha256, contaminated."""
+    """Per row: doc_id, key (the row's name: doc_id and a hash of the text), n_words, n_hit, n_items, items_sha256, contaminated."""
     of_items = cut(windows(items, size))
     distinct = of_items.select("window").distinct()
     vocabulary = distinct.select(F.explode("window").alias("word")).distinct()
@@ -55,8 +56,8 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFram
 
     # how many places the corpus has for each word of the benchmark
     places = docs.select(F.explode(words("text")).alias("word")).join(small(cut(vocabulary)), "word").groupBy("word").agg(F.count("*").alias("places"))
-    rarity = vocabulary.join(places, "word", "left").select("word", F.coalesce("places", F.lit(0)).alias("places"))
-    spread = distinct.select("window", F.posexplode("window").alias("at", "word")).join(rarity, "word")
+    rarity = cut(vocabulary.join(places, "word", "left").select("word", F.coalesce("places", F.lit(0)).alias("places")))
+    spread = distinct.select("window", F.posexplode("window").alias("at", "word")).join(small(rarity), "word")
     prefix = spread.groupBy("window").agg(F.min(F.struct("places", "word", "at")).alias("least")).filter("least.places > 0")
     probes = cut(prefix.select("window", F.col("least.word").alias("word"), F.col("least.at").alias("offset")))
     tokens = probes.select("word").distinct()
@@ -94,7 +95,8 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFram
 
 
 def keep_clean(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFrame:
-    """The rows without a hit, with all their columns."""
+    """The rows without a hit, with all their columns and repeats. Null and empty texts stay, and all rows if there are no
+    items; no rows give none."""
     name = free_name(docs, "_key")
     hit = contamination(docs, items, size).filter("contaminated").select(F.col("key").alias(name)).distinct()
     return docs.withColumn(name, _key()).join(hit, name, "left_anti").select(*docs.columns)

@@ -3,8 +3,9 @@
 A word is the bag of its byte n-grams, its ends marked, so that an unseen spelling shares vectors with the known one; a
 run of one word counts once.
 Embeddings are averaged over windows of a few words and go through a linear softmax; a document is as toxic as its most
-toxic window, so that one insult counts in a long text. Labels are of documents: training lets the most toxic windows
-stand for their document, embeddings and softmax moving together.
+toxic window, so that one insult counts in a long text: the average over a whole document dilutes it (the README has the
+figures of both). Labels are of documents: training lets the most toxic windows stand for their document, embeddings and
+softmax moving together.
 
 At scoring time softmax and average are both linear, so each n-gram bucket has one number: its embedding's product with
 the softmax's direction. What the executors get is that vector, of fixed size.
@@ -226,7 +227,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, caps: t
 
 
 def keep_civil(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, caps: tuple[int, int] = CAPS) -> DataFrame:
-    """The rows, all their columns kept, whose score is below the threshold."""
+    """The rows, all their columns kept, whose score is below the threshold: ``toxicity``'s cases hold, so that without
+    labels of both kinds the share of label 1 decides for all, and null and empty texts go by the softmax's bias."""
     model, at = train(docs, labels, caps=caps), docs.columns.index("text")
 
     def civil(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
