@@ -127,3 +127,13 @@ def udf(f, kind: str):
         return column.map(lambda x: None if x is None else f(x))
 
     return run
+
+
+def osa_distance(a, b):
+    """Edits and swaps of neighbours between two columns of words, 3 for more than two."""
+
+    @F.pandas_udf("int")
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None or y is None else osa(x, y) for x, y in zip(a, b, strict=True)], dtype="Int32")
+
+    return run(a, b)

@@ -107,14 +107,6 @@ def author_best_id(d):
     return "SELECT name_key, id, works FROM (SELECT n_name AS name_key, c_custkey AS id, count(o_orderkey) AS works, row_number() OVER (PARTITION BY n_name ORDER BY count(o_orderkey) DESC, c_custkey) AS rn FROM customer JOIN nation ON c_nationkey = n_nationkey LEFT JOIN orders ON o_custkey = c_custkey GROUP BY n_name, c_custkey) x WHERE rn = 1"
 
 
-@plan
-def author_tag_fill(d):
-    """Tags of 0.7 of an author's read works (two or more) are lent to the unread ones."""
-    return f"""WITH {tags(d)}, read_works AS (SELECT p_partkey AS work, p_brand AS author FROM part WHERE p_size <= 25), n AS (SELECT author, count(*) AS works FROM read_works GROUP BY author),
-common AS (SELECT t.author, t.tag FROM tags t JOIN read_works s ON t.work = s.work JOIN n ON n.author = t.author GROUP BY t.author, t.tag, works HAVING works >= 2 AND count(*) >= 0.2 * works)
-SELECT p_partkey AS work, tag FROM part JOIN common ON p_brand = author WHERE p_size > 25"""
-
-
 @plan
 def theme_support(d):
     """Themes of a work by their support, rarer ones and then smaller ids first."""
@@ -205,12 +197,6 @@ def weighted_spread(d):
 SELECT w.entity, round(mean, 4) AS mean, round(sqrt(sum(w * (y - mean) * (y - mean)) / sum(w)), 4) AS spread FROM w JOIN m ON w.entity = m.entity GROUP BY w.entity, mean"""
 
 
-@plan
-def author_affinity(d):
-    """Weights of authors with more than one source, scaled by the largest."""
-    return """WITH a AS (SELECT p_brand AS author, sum(l_quantity) AS weight FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_returnflag = 'A' GROUP BY p_brand HAVING count(DISTINCT l_partkey) > 1) SELECT author, round(weight / max(weight) OVER (), 6) AS affinity FROM a"""
-
-
 @plan
 def size_histogram(d):
     return "SELECT size, count(*) AS groups, CAST(sum(size) AS BIGINT) AS members FROM (SELECT o_custkey, count(*) AS size FROM orders GROUP BY o_custkey) x GROUP BY size"
@@ -255,13 +241,13 @@ def tag_cosine_similar(d):
         return f"""WITH {SCORED}, {tags(d)}, i AS (SELECT tag, ln(((SELECT count(*) FROM part) + 1) / (count(*) + 1.0e0)) AS idf FROM tags GROUP BY tag), k AS (SELECT work, array_join(sort_array(collect_list(tag)), ' ') AS k FROM tags GROUP BY work),
 m AS (SELECT work, min(work) OVER (PARTITION BY k) AS head FROM k), v AS (SELECT work, t.tag, idf / sqrt(sum(idf * idf) OVER (PARTITION BY work)) AS w FROM tags t JOIN i ON t.tag = i.tag WHERE work IN (SELECT head FROM m)),
 c AS (SELECT a.work AS a, b.work AS b, sum(a.w * b.w) AS cosine FROM v a JOIN v b ON a.tag = b.tag GROUP BY a.work, b.work),
-p AS (SELECT work, ln(1 + score) / ln(1 + max(score) OVER ()) AS popularity FROM scored), r AS (SELECT a, m.work, 0.7e0 * cosine + 0.3e0 * popularity AS score FROM c JOIN m ON b = head JOIN p ON m.work = p.work WHERE cosine >= 0.2),
+p AS (SELECT work, ln(1 + score) / ln(1 + (SELECT max(score) FROM scored)) AS popularity FROM scored), r AS (SELECT a, m.work, 0.7e0 * cosine + 0.3e0 * popularity AS score FROM c JOIN m ON b = head JOIN p ON m.work = p.work WHERE cosine >= 0.2),
 best AS (SELECT a, work, score FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY round(score, 9) DESC, work) AS n FROM r) x WHERE n <= 11),
 s AS (SELECT m.work AS seed, best.work, score, row_number() OVER (PARTITION BY m.work ORDER BY round(score, 9) DESC, best.work) AS place FROM best JOIN m ON a = head WHERE m.work <> best.work)
 SELECT seed, work, place, round(score, 5) AS score FROM s WHERE place <= 10"""
     return f"""WITH {SCORED}, {tags(d)}, i AS (SELECT tag, ln(((SELECT count(*) FROM part) + 1) / (count(*) + 1.0e0)) AS idf FROM tags GROUP BY tag), v AS (SELECT work, t.tag, idf / sqrt(sum(idf * idf) OVER (PARTITION BY work)) AS w FROM tags t JOIN i ON t.tag = i.tag),
 c AS (SELECT a.work AS seed, b.work, sum(a.w * b.w) AS cosine FROM v a JOIN v b ON a.tag = b.tag AND a.work <> b.work GROUP BY a.work, b.work),
-p AS (SELECT work, ln(1 + score) / ln(1 + max(score) OVER ()) AS popularity FROM scored), r AS (SELECT seed, c.work, 0.7e0 * cosine + 0.3e0 * popularity AS score, row_number() OVER (PARTITION BY seed ORDER BY round(0.7e0 * cosine + 0.3e0 * popularity, 9) DESC, c.work) AS place FROM c JOIN p ON c.work = p.work WHERE cosine >= 0.2)
+p AS (SELECT work, ln(1 + score) / ln(1 + (SELECT max(score) FROM scored)) AS popularity FROM scored), r AS (SELECT seed, c.work, 0.7e0 * cosine + 0.3e0 * popularity AS score, row_number() OVER (PARTITION BY seed ORDER BY round(0.7e0 * cosine + 0.3e0 * popularity, 9) DESC, c.work) AS place FROM c JOIN p ON c.work = p.work WHERE cosine >= 0.2)
 SELECT seed, work, place, round(score, 5) AS score FROM r WHERE place <= 10"""
 
 

@@ -14,18 +14,19 @@ SIGNALS = """signals AS (SELECT work, least(count(*) FILTER (WHERE kind = 'view'
   least(count(*) FILTER (WHERE kind = 'purchase'), 65535) AS finished, least(count(rating), 65535) AS ratings, CAST(coalesce(sum(rating), 0) AS BIGINT) AS rating_total FROM log GROUP BY work)"""
 FACTS = """facts AS (SELECT l_partkey AS work, least(count(*), 65535) AS editions, count(DISTINCT l_returnflag) AS languages, min(year(l_shipdate)) AS first_year,
   CAST(max(CASE WHEN l_discount > 0.05 THEN 1 ELSE 0 END) + 2 * max(CASE WHEN l_tax > 0.04 THEN 1 ELSE 0 END) + 4 * max(CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END) AS BIGINT) AS flags FROM lineitem GROUP BY l_partkey)"""
-SCORED = f"""{LOG}, {SIGNALS}, {FACTS}, scored AS (SELECT f.work, f.editions, f.languages, f.first_year, f.flags, coalesce(ratings, 0) AS ratings, coalesce(rating_total, 0) AS rating_total,
-  coalesce(want, 0) AS want, coalesce(reading, 0) AS reading, coalesce(finished, 0) AS finished,
-  100 * ln(1 + 3 * coalesce(finished, 0) + 2 * coalesce(reading, 0) + coalesce(want, 0)) + 60 * ln(1 + coalesce(ratings, 0)) + 20 * ln(1 + f.editions) + 45 * ln(f.languages)
-  + CASE WHEN coalesce(ratings, 0) >= 5 THEN 18 * (rating_total * 1.0e0 / ratings - 3.6e0) ELSE 0 END + CASE WHEN f.flags % 2 = 1 THEN 30 ELSE 0 END + CASE WHEN f.flags >= 4 THEN 8 ELSE 0 END AS score
-  FROM facts f LEFT JOIN signals s ON f.work = s.work)"""
-
-
-@plan
-def popular_works(d):
-    """Signals, facts, score, normalised popularity, top 100."""
-    return f"""WITH {SCORED} SELECT work, p_name AS title, round(score, 5) AS score, round(ln(1 + score) / ln(1 + max(score) OVER ()), 5) AS popularity
-FROM scored JOIN part ON work = p_partkey ORDER BY scored.score DESC, work LIMIT 100"""
+#: What an edition tells: 1 a cover, 2 a number, 4 a publisher, and that it can be read unless it is the audio book.
+LANGUAGES = """editions AS (SELECT l_partkey AS work, l_returnflag AS language, count(*) AS language_editions, max(CASE WHEN l_quantity < 50 THEN 1 ELSE 0 END) AS readable FROM lineitem GROUP BY l_partkey, l_returnflag)"""
+#: What the work itself tells.
+TRAITS = """traits AS (SELECT p_partkey AS work, CASE WHEN length(p_brand) > 0 THEN 1 ELSE 0 END AS has_author, CASE WHEN length(trim(p_name)) > 0 THEN 1 ELSE 0 END AS good_title, CASE WHEN p_type <> 'STANDARD' THEN 1 ELSE 0 END AS has_subjects,
+  CASE WHEN p_type = 'PROMO' THEN 1 ELSE 0 END AS bad_subject, CASE WHEN p_size % 3 > 0 THEN 1 ELSE 0 END AS has_description, CASE WHEN p_size > 45 THEN 1 ELSE 0 END AS has_cover FROM part)"""
+#: The whole score of a work in a language, and that of the language with most editions (the first on ties) as the work's.
+SCORED = f"""{LOG}, {SIGNALS}, {FACTS}, {LANGUAGES}, {TRAITS}, by_language AS (SELECT f.work, e.language, language_editions, readable, f.editions, f.languages, f.first_year, f.flags, coalesce(ratings, 0) AS ratings, coalesce(rating_total, 0) AS rating_total,
+  coalesce(want, 0) AS want, coalesce(reading, 0) AS reading, coalesce(finished, 0) AS finished, has_author, good_title, has_subjects, bad_subject, has_description, has_cover,
+  100 * ln(1 + 3 * coalesce(finished, 0) + 2 * coalesce(reading, 0) + coalesce(want, 0)) + 60 * ln(1 + coalesce(ratings, 0)) + 20 * ln(1 + f.editions) + 30 * ln(1 + language_editions) + 45 * ln(greatest(f.languages, 1))
+  + CASE WHEN coalesce(ratings, 0) >= 5 THEN 18 * (rating_total * 1.0e0 / ratings - 3.6e0) ELSE 0 END + CASE WHEN f.flags % 2 = 1 OR has_cover = 1 THEN 30 ELSE 0 END + 22 * has_description + 15 * has_subjects
+  + CASE WHEN f.flags % 4 >= 2 THEN 10 ELSE 0 END + CASE WHEN f.flags >= 4 THEN 8 ELSE 0 END + CASE WHEN f.first_year >= 1950 THEN 6 ELSE 0 END AS score
+  FROM facts f JOIN editions e ON f.work = e.work JOIN traits t ON t.work = f.work LEFT JOIN signals s ON f.work = s.work),
+scored AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY work ORDER BY language_editions DESC, language) AS main FROM by_language) m WHERE main = 1)"""
 
 
 @plan
@@ -44,13 +45,6 @@ def language_edition_pivot(d):
 count(*) FILTER (WHERE l_returnflag = 'R') AS editions_r, count(DISTINCT l_returnflag) AS languages FROM lineitem GROUP BY l_partkey"""
 
 
-@plan
-def eligible_works(d):
-    """Named, published, described, wanted, not junk and scored at 150 or more."""
-    return f"""WITH {SCORED} SELECT work, round(score, 4) AS score FROM scored JOIN part ON work = p_partkey
-WHERE length(trim(p_name)) > 0 AND editions > 0 AND first_year > 0 AND p_size > 1 AND want + reading + finished + ratings >= 0 AND NOT p_name LIKE '%unknown%' AND score >= 150"""
-
-
 @plan
 def quality_score(d):
     """0.7 of the readers' logarithm against 50,000 and 0.3 of the Bayesian rating above 3."""
@@ -64,11 +58,6 @@ def library_score(d):
 + 15 * max(CASE WHEN l_linenumber > 1 THEN 1 ELSE 0 END) + 10 * greatest(0, 1 - (1998 - max(year(l_shipdate))) / 10.0e0), 4) AS score FROM lineitem GROUP BY l_partkey"""
 
 
-@plan
-def normalised_popularity(d):
-    return f"""WITH {SCORED} SELECT work, round(CASE WHEN max(score) OVER () <= 0 THEN 1 ELSE ln(1 + greatest(score, 0)) / ln(1 + max(score) OVER ()) END, 6) AS popularity FROM scored"""
-
-
 @plan
 def pack_assignment(d):
     """Children's, young adults' or the first genre pack, else general."""
@@ -197,13 +186,6 @@ def mutual_best(d):
 r AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY votes DESC, work) AS a, row_number() OVER (PARTITION BY work ORDER BY votes DESC, grp) AS b FROM v) SELECT grp, work, votes FROM r WHERE a = 1 AND b = 1"""
 
 
-@plan
-def title_key_claim(d):
-    """Titles that share a key claim each other unless the authors disagree."""
-    return f"""WITH k AS (SELECT p_partkey AS work, p_brand AS author, {d.replaced('lower(p_name)', '[^a-z0-9]+', '')} AS title_key FROM part)
-SELECT a.work AS work, min(b.work) AS claims, count(*) AS candidates FROM k a JOIN k b ON a.title_key = b.title_key AND a.author = b.author AND b.work < a.work GROUP BY a.work"""
-
-
 @plan
 def unique_key_match(d):
     """A key maps to its work only if one work has it."""
@@ -228,20 +210,6 @@ def posting_difference(d):
     return "SELECT p_partkey AS work FROM part WHERE p_type <> 'PROMO' EXCEPT SELECT l_partkey AS work FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 40"
 
 
-@plan
-def containment_match(d):
-    """Items that stand whole in a text; the longest one per text."""
-    return f"""WITH i AS (SELECT item_id, lower(text) AS phrase FROM benchmark), m AS (SELECT doc_id, item_id, length(phrase) AS n FROM documents JOIN i ON {'contains(lower(text), phrase)'}),
-r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, item_id) AS rn FROM m) SELECT doc_id, item_id FROM r WHERE rn = 1"""
-
-
-@plan
-def series_alignment(d):
-    """Pairs of series by one author that share a volume at one position."""
-    return """WITH s AS (SELECT DISTINCT l_orderkey AS series, l_linenumber AS position, l_suppkey AS author FROM lineitem)
-SELECT a.series AS a, b.series AS b, count(*) AS shared FROM s a JOIN s b ON a.author = b.author AND a.position = b.position AND a.series < b.series GROUP BY a.series, b.series"""
-
-
 @plan
 def sorted_range_lookup(d):
     """The rows of a key range."""

@@ -107,9 +107,3 @@ def page_titles(d):
 def repeated_lines(d):
     """Lines that several documents share."""
     return f"WITH {lines(d)} SELECT md5(t) AS line, count(DISTINCT doc_id) AS documents FROM line WHERE length(t) >= 20 GROUP BY md5(t) HAVING count(DISTINCT doc_id) >= 3"
-
-
-@plan
-def name_groups(d):
-    """Names whose words are part of a longer name."""
-    return "WITH n AS (SELECT DISTINCT p_name AS name FROM part UNION SELECT DISTINCT split_part(p_name, ' ', 2) FROM part) SELECT a.name, max(b.name) AS joins FROM n a JOIN n b ON length(b.name) > length(a.name) AND concat(' ', b.name, ' ') LIKE concat('% ', a.name, ' %') GROUP BY a.name"

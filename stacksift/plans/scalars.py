@@ -71,12 +71,6 @@ def typo_allowance(d):
     return "SELECT DISTINCT n_name AS term, CASE WHEN length(n_name) <= 3 THEN 0 WHEN length(n_name) <= 6 THEN 1 ELSE 2 END AS allowed FROM nation"
 
 
-@plan
-def edit_distance(d):
-    """Terms within their allowance of each other."""
-    return f"WITH t AS (SELECT DISTINCT {d.each('split(lower(p_name), chr(32))')} AS term FROM part) SELECT a.term AS a, b.term AS b, levenshtein(a.term, b.term) AS distance FROM t a JOIN t b ON a.term < b.term AND abs(length(a.term) - length(b.term)) <= 2 WHERE levenshtein(a.term, b.term) <= 3"
-
-
 @plan
 def transposition_variants(d):
     """All swaps of neighbouring letters."""
@@ -127,12 +121,6 @@ def url_parts(d):
     return f"SELECT page_id, split_part(url, ':', 1) AS scheme, split_part(url, '/', 3) AS host, url LIKE '%?%' AS query FROM pages"
 
 
-@plan
-def clean_description(d):
-    """Ten dashes end it; citations, links and white space go; at most 480 bytes."""
-    return f"SELECT doc_id, trim(substr({d.replaced(d.replaced(d.replaced('text', '-{10,}', ' '), 'https?://[^ ]+', ''), '[ \\n\\t]+', ' ')}, 1, 480)) AS description FROM documents"
-
-
 @plan
 def reader_comment_score(d):
     """Points for what readers' comments look like."""
@@ -207,12 +195,6 @@ def days_to_finish(d):
     return f"SELECT o_orderkey, greatest(1, {d.days('CAST(max(l_shipdate) AS DATE)', 'CAST(o_orderdate AS DATE)')} + 1) AS days FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_orderdate"
 
 
-@plan
-def release_label_order(d):
-    """Labels ordered by date and then by their number."""
-    return f"SELECT label, row_number() OVER (ORDER BY substr(label, 1, 10), coalesce(TRY_CAST(split_part(label, '-', 4) AS INT), 0)) AS place FROM (SELECT DISTINCT concat(CAST(CAST(ts AS DATE) AS {d.text}), CASE WHEN user_id % 12 = 0 THEN '' ELSE concat('-', CAST(user_id % 12 AS {d.text})) END) AS label FROM events) x"
-
-
 @plan
 def saturating_add(d):
     return "SELECT l_orderkey, least(255, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT)) AS total FROM lineitem GROUP BY l_orderkey"

@@ -56,7 +56,7 @@ idf AS (SELECT qid, i, n, ln((total + 1.0e0) / (least(sum(df), total) + 1)) + 1
 value AS (SELECT e.qid, e.i, p.work, max(CASE WHEN field = 'title' THEN weight ELSE 0.85e0 * weight END) AS v, max(CASE WHEN field = 'author' THEN 1 ELSE 0 END) AS author FROM expanded e JOIN posting p ON e.term = p.term GROUP BY e.qid, e.i, p.work),
 whole AS (SELECT qid, sum(idf) AS whole FROM idf GROUP BY qid),
 text AS (SELECT v.qid, work, sum(v * idf) / whole * power(count(*) / CAST(max(n) AS DOUBLE), 2) AS text, count(*) AS matched, max(n) AS n, max(v) AS best FROM value v JOIN idf ON v.qid = idf.qid AND v.i = idf.i JOIN whole ON v.qid = whole.qid GROUP BY v.qid, work, whole),
-popular AS (SELECT work, ln(1 + score) / ln(1 + max(score) OVER ()) AS pop FROM scored),
+popular AS (SELECT work, ln(1 + score) / ln(1 + (SELECT max(score) FROM scored)) AS pop FROM scored),
 candidate AS (SELECT qid, t.work, text, matched, n, coalesce(pop, 0) AS pop, row_number() OVER (PARTITION BY qid ORDER BY round(text + 0.35e0 * coalesce(pop, 0), 9) DESC, t.work) AS place FROM text t LEFT JOIN popular p ON t.work = p.work WHERE best >= 0.8 OR matched = n)"""
 
 
@@ -195,12 +195,6 @@ def gold_constraints(d):
     return "SELECT a.p_partkey AS a, b.p_partkey AS b, a.p_name = b.p_name AND a.p_brand = b.p_brand AS same FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 64"
 
 
-@plan
-def unify_votes(d):
-    """The target with three fifths of a source's votes, if there is one."""
-    return "WITH v AS (SELECT l_suppkey AS source, p_brand AS target, count(*) AS votes FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_suppkey, p_brand), t AS (SELECT *, sum(votes) OVER (PARTITION BY source) AS total, row_number() OVER (PARTITION BY source ORDER BY votes DESC, target) AS rn FROM v) SELECT source, target, votes FROM t WHERE rn = 1 AND votes >= 0.05 * total"
-
-
 @plan
 def proposal_conflicts(d):
     """By target, sources that collide on a language all refuse."""

@@ -50,12 +50,6 @@ def series_positions(d):
 s AS (SELECT series FROM m GROUP BY series HAVING count(DISTINCT volume) = count(*)) SELECT m.series, work, CASE WHEN s.series IS NULL THEN place ELSE volume END AS position FROM m LEFT JOIN s ON m.series = s.series WHERE n BETWEEN 2 AND 40 AND place <= 40"""
 
 
-@plan
-def core_quota(d):
-    """The first hundred by score are the core, up to five hundred in all."""
-    return f"WITH {SCORED}, r AS (SELECT work, row_number() OVER (ORDER BY score DESC, work) AS place FROM scored) SELECT work, place, CASE WHEN place <= 100 THEN 'core' ELSE 'rest' END AS pack FROM r WHERE place <= 500"
-
-
 @plan
 def longest_streak(d):
     """Longest run of consecutive days per reader."""
@@ -132,19 +126,6 @@ def topk_by_tag(d):
     return f"WITH {SCORED}, {tags(d)} SELECT tag, work, place FROM (SELECT tag, s.work, row_number() OVER (PARTITION BY tag ORDER BY score DESC, s.work) AS place FROM tags t JOIN scored s ON t.work = s.work) x WHERE place <= 5"
 
 
-@plan
-def library_sorts(d):
-    """Places of a reading list's rows in each of its orders."""
-    return """SELECT o_orderkey AS work, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey) AS by_added, row_number() OVER (ORDER BY o_orderpriority, o_orderkey) AS by_title, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS by_rating,
-row_number() OVER (ORDER BY CASE WHEN o_orderstatus = 'F' THEN 0 ELSE 1 END, o_orderdate DESC, o_orderkey) AS by_finished FROM orders"""
-
-
-@plan
-def result_sorts(d):
-    """Popular, newest and oldest, years unknown last."""
-    return f"""WITH {SCORED} SELECT work, row_number() OVER (ORDER BY score DESC, work) AS popular, row_number() OVER (ORDER BY first_year DESC, work) AS newest, row_number() OVER (ORDER BY CASE WHEN first_year = 0 THEN 1 ELSE 0 END, first_year, work) AS oldest FROM scored"""
-
-
 @plan
 def language_order(d):
     return "SELECT p_type AS language, p_partkey AS work, row_number() OVER (PARTITION BY p_name ORDER BY p_retailprice DESC, p_type, p_partkey) AS place FROM part"
@@ -163,18 +144,6 @@ def daily_rotation(d):
 c AS (SELECT count(DISTINCT CAST(ts AS DATE)) AS day FROM events) SELECT work, (i - day * 12 % n + n) % n AS slot FROM m, c WHERE (i - day * 12 % n + n) % n < 12"""
 
 
-@plan
-def natural_sort(d):
-    """Digits compared as numbers."""
-    return f"SELECT c_name, row_number() OVER (ORDER BY {d.replaced('c_name', '[0-9]+', '')}, CAST({d.replaced('c_name', '[^0-9]+', '')} AS BIGINT)) AS place FROM customer"
-
-
-@plan
-def budget_cut(d):
-    """Works by score until their sizes reach the budget."""
-    return f"WITH {SCORED}, s AS (SELECT work, editions, CAST(sum(70 * editions) OVER (ORDER BY score DESC, work ROWS UNBOUNDED PRECEDING) AS BIGINT) AS bytes FROM scored) SELECT work, bytes FROM s WHERE bytes <= 100000"
-
-
 @plan
 def next_unread(d):
     """The first member of each series that a reader hasn't finished."""
