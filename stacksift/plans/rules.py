@@ -120,18 +120,18 @@ def release_label_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed(labels, F.substring("label", 1, 10), F.coalesce(F.expr("try_cast(split_part(label, '-', 4) AS INT)"), F.lit(0))).select("label", "place")
 
 
-@query("""WITH b AS (SELECT DISTINCT p_brand || p_type AS author, p_partkey AS work, p_size <= 25 AS shelved, lower(p_type) AS t0, split_part(p_name, ' ', 1) AS t1, split_part(p_name, ' ', 2) AS t2 FROM part),
-t AS (SELECT author, work, shelved, unnest([t0, t1, t2]) AS tag FROM b), n AS (SELECT author, count(DISTINCT work) AS works FROM b WHERE shelved GROUP BY author HAVING works >= 2),
-c AS (SELECT author, tag FROM t SEMI JOIN n USING (author) WHERE shelved GROUP BY author, tag HAVING count(DISTINCT work) >= 0.7 * (SELECT works FROM n WHERE n.author = t.author))
-SELECT b.work, c.tag FROM b JOIN c USING (author) WHERE NOT shelved""")
+@query("""WITH b AS (SELECT DISTINCT p_brand || p_type AS author, p_partkey AS work, p_size <= 25 AS filed, lower(p_type) AS t0, split_part(p_name, ' ', 1) AS t1, split_part(p_name, ' ', 2) AS t2 FROM part),
+t AS (SELECT author, work, filed, unnest([t0, t1, t2]) AS tag FROM b), n AS (SELECT author, count(DISTINCT work) AS works FROM b WHERE filed GROUP BY author HAVING works >= 2),
+c AS (SELECT author, tag FROM t SEMI JOIN n USING (author) WHERE filed GROUP BY author, tag HAVING count(DISTINCT work) >= 0.7 * (SELECT works FROM n WHERE n.author = t.author))
+SELECT b.work, c.tag FROM b JOIN c USING (author) WHERE NOT filed""")
 def author_tag_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tags that seven tenths of an author's shelved works have, of two or more, are lent to the unshelved ones."""
-    works = read(spark, sf_dir, "part").select(F.concat("p_brand", "p_type").alias("author"), F.col("p_partkey").alias("work"), (F.col("p_size") <= 25).alias("shelved"), F.array_append(F.split("p_name", " "), F.lower("p_type")).alias("tags"))
-    shelved = works.filter("shelved")
-    many = shelved.groupBy("author").agg(F.count("*").alias("works")).filter(F.col("works") >= FILL_WORKS)
-    common = shelved.select("author", "work", F.explode(F.array_distinct("tags")).alias("tag")).groupBy("author", "tag").agg(F.count("*").alias("n"))
+    """Tags that seven tenths of an author's sorted works have, of two or more, are lent to the unsorted ones."""
+    works = read(spark, sf_dir, "part").select(F.concat("p_brand", "p_type").alias("author"), F.col("p_partkey").alias("work"), (F.col("p_size") <= 25).alias("filed"), F.array_append(F.split("p_name", " "), F.lower("p_type")).alias("tags"))
+    filed = works.filter("filed")
+    many = filed.groupBy("author").agg(F.count("*").alias("works")).filter(F.col("works") >= FILL_WORKS)
+    common = filed.select("author", "work", F.explode(F.array_distinct("tags")).alias("tag")).groupBy("author", "tag").agg(F.count("*").alias("n"))
     lent = common.join(many, "author").filter(F.col("n") >= FILL_SHARE * F.col("works")).select("author", "tag")
-    return works.filter("NOT shelved").join(lent, "author").select("work", "tag")
+    return works.filter("NOT filed").join(lent, "author").select("work", "tag")
 
 
 @query("""WITH v AS (SELECT l_orderkey AS source, l_returnflag AS target, count(*) AS votes FROM lineitem GROUP BY ALL), b AS (SELECT source, max(votes) AS most, sum(votes) AS total FROM v GROUP BY source)
