@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.graph import LOCAL_CHECKPOINTS
+from ..operators.graph import shared_folder
 
 DECAY, PRUNE, TOP, MARGIN = 0.5, 0.02, 1.0, 0.3
 
@@ -27,7 +27,7 @@ def events(spark: SparkSession, path: str) -> DataFrame:
 def drained(stream: DataFrame, mode: str) -> DataFrame:
     """Run over all that is there and give back the sink's rows."""
     spark = stream.sparkSession
-    top = f"{(spark.conf.get('spark.checkpoint.dir', None) or LOCAL_CHECKPOINTS).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    top = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     write = "overwrite" if mode == "complete" else "append"
     schema = stream.schema
 
