@@ -24,7 +24,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from . import aggregates, catalogue, documents, entities, library, pipelines, rules, scalars, scans, search, suggestions, windows  # noqa: F401
+    from . import aggregates, catalogue, documents, entities, library, pipelines, rules, scalars, scans, search, suggestions, texts, windows  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
