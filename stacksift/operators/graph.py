@@ -38,10 +38,18 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def resolved(aliases: DataFrame, live: DataFrame, hops: int = 8) -> DataFrame:
-    """(old, new) after at most ``hops`` steps; only dead ids are followed, cycles end where they began to repeat."""
-    step = aliases.join(live.select(F.col("id").alias("old")), "old", "left_anti").select("old", "new")
-    out = step
-    for _ in range(hops.bit_length() - 1):  # each pass doubles the steps
-        further = out.select(F.col("old").alias("new"), F.col("new").alias("next"))
-        out = out.join(further, "new", "left").select("old", F.when(F.col("next") == F.col("old"), F.col("new")).otherwise(F.coalesce("next", "new")).alias("new"))
+    """(old, new) after at most ``hops`` steps; only dead ids are followed. Steps are doubled and put together by the digits of
+    ``hops``. A cycle ends after ``hops`` steps like any long chain."""
+
+    def then(first: DataFrame, second: DataFrame) -> DataFrame:
+        further = second.select(F.col("old").alias("new"), F.col("new").alias("next"))
+        return saved(first.join(further, "new", "left").select("old", F.coalesce("next", "new").alias("new")))
+
+    power = saved(aliases.join(live.select(F.col("id").alias("old")), "old", "left_anti").select("old", "new"))
+    out = None
+    while hops:
+        if hops & 1:
+            out = power if out is None else then(out, power)
+        hops >>= 1
+        power = then(power, power) if hops else power
     return out

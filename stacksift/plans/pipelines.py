@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators.graph import components, resolved
+from ..operators.graph import components, resolved, shared_folder
 from ..operators.recommend import diversified, taste_clusters
 from ..sources.records import by_subject, n_triples
 from ..streaming import windows as S
@@ -17,14 +19,13 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT p_partkey AS n, 1000000000 + CAST(regexp_extract(p_brand, '([0-9]+)', 1) AS BIGINT) * 100 + p_size AS k FROM part),
-x AS (SELECT n, min(n) OVER (PARTITION BY k) AS m FROM e) SELECT n AS node, m AS component FROM x""")
+@query("SELECT p_partkey AS node, min(p_partkey) OVER (PARTITION BY p_brand, p_size) AS component FROM part")
 def record_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records that share a key are one group."""
-    part = read(spark, sf_dir, "part")
-    key = 1000000000 + F.regexp_extract("p_brand", "([0-9]+)", 1).cast("long") * 100 + F.col("p_size")
-    found = components(part.select(F.col("p_partkey").alias("a"), key.alias("b")))
-    return found.filter("node < 1000000000")
+    """Records that share a key are one group; records and keys are nodes of two kinds."""
+    node = lambda kind, id_, name: F.struct(F.lit(kind).alias("kind"), id_.alias("id"), name.alias("name"))
+    key = node(1, F.col("p_size").cast("long"), F.col("p_brand"))
+    found = components(read(spark, sf_dir, "part").select(node(0, F.col("p_partkey"), F.lit("")).alias("a"), key.alias("b")))
+    return found.filter("node.kind = 0").select(F.col("node.id").alias("node"), F.col("component.id").alias("component"))
 
 
 @query("SELECT c_custkey AS old, c_custkey // 16 AS new FROM customer WHERE c_custkey >= 16")
@@ -38,12 +39,12 @@ def alias_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS since, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def stream_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.drained(S.tumbling(S.events(spark, f"{sf_dir}/events.parquet")), "complete").withColumn("since", F.col("since").cast("timestamp_ntz"))
+    return S.drained(S.tumbling(S.events(spark, f"{sf_dir}/events.parquet")), "update", ["since", "event_type"]).withColumn("since", F.col("since").cast("timestamp_ntz"))
 
 
 @query("SELECT since, count(*) AS n FROM (SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS since FROM events UNION ALL SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) - INTERVAL 1 DAY FROM events) x GROUP BY since")
 def stream_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.drained(S.sliding(S.events(spark, f"{sf_dir}/events.parquet")), "complete").withColumn("since", F.col("since").cast("timestamp_ntz"))
+    return S.drained(S.sliding(S.events(spark, f"{sf_dir}/events.parquet")), "update", ["since"]).withColumn("since", F.col("since").cast("timestamp_ntz"))
 
 
 @query("""WITH g AS (SELECT user_id, ts, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w >= INTERVAL 12 HOUR THEN 1 ELSE 0 END AS brk FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
@@ -60,7 +61,49 @@ def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT user_id, CAST(ts AS DATE) AS day, CAST(sum(CAST(floor(value) AS BIGINT)) AS BIGINT) AS pages FROM events GROUP BY 1, 2")
 def stream_daily_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.drained(S.daily_pages(S.events(spark, f"{sf_dir}/events.parquet")), "complete")
+    return S.drained(S.daily_pages(S.events(spark, f"{sf_dir}/events.parquet")), "update", ["user_id", "day"])
+
+
+@query("SELECT user_id, date_trunc('hour', ts)::TIMESTAMP AS hour, count(*) AS n, count(*) > 2 AS limited FROM events GROUP BY 1, 2")
+def stream_rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.drained(S.rate_limited(S.events(spark, f"{sf_dir}/events.parquet")), "update", ["user_id", "hour"]).withColumn("hour", F.col("hour").cast("timestamp_ntz"))
+
+
+@query("""WITH g AS (SELECT *, coalesce(ts - lag(ts) OVER w >= INTERVAL 30 MINUTE, TRUE) AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, count(*) FILTER (fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+SELECT user_id, arg_max(event_id, struct_pack(t := ts, e := event_id)) AS event_id, arg_max(event_type, struct_pack(t := ts, e := event_id)) AS event_type, count(*) AS n FROM s GROUP BY user_id, k""")
+def stream_debounce(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.drained(S.debounced(S.events(spark, f"{sf_dir}/events.parquet")), "complete")
+
+
+@query("SELECT DISTINCT ts::DATE AS day FROM events")
+def stream_day_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.drained(S.day_ticks(S.events(spark, f"{sf_dir}/events.parquet")), "append").select(F.to_date("day").alias("day"))
+
+
+@query("SELECT user_id, arg_min(event_type, struct_pack(t := ts, e := event_id)) AS pack, count(*) AS seen FROM events GROUP BY user_id")
+def stream_sticky(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.drained(S.sticky(S.events(spark, f"{sf_dir}/events.parquet")), "update", ["user_id"])
+
+
+@query("""WITH p AS (SELECT user_id, floor(value)::BIGINT - lag(floor(value)::BIGINT) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS step FROM events) SELECT user_id, coalesce(sum(step) FILTER (step BETWEEN 1 AND 5), 0)::BIGINT AS heard FROM p GROUP BY user_id""")
+def stream_heard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.drained(S.heard(S.events(spark, f"{sf_dir}/events.parquet")), "update", ["user_id"])
+
+
+@query("SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users, 1::BIGINT AS versions FROM events GROUP BY event_type")
+def stream_live_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    view, versions = S.live_view(S.events(spark, f"{sf_dir}/events.parquet"), lambda rows: rows.groupBy("event_type").agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("users")))
+    return view.withColumn("versions", F.lit(versions).cast("long"))
+
+
+@query("SELECT event_id, user_id, CASE WHEN user_id % 5 <> 0 THEN 'new ' || user_id END AS name FROM events")
+def stream_snapshot_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events looked up in the newest finished snapshot of two."""
+    root = f"{shared_folder(spark)}/snapshots-{uuid.uuid4().hex}"
+    ids = read(spark, sf_dir, "events").select("user_id").distinct()
+    ids.withColumn("name", F.lit("old")).write.parquet(f"{root}/2024-01")
+    ids.filter("user_id % 5 <> 0").withColumn("name", F.concat(F.lit("new "), F.col("user_id").cast("string"))).write.parquet(f"{root}/2024-02")
+    return S.refreshed(S.events(spark, f"{sf_dir}/events.parquet").select("event_id", "user_id"), root, "user_id")
 
 
 @query()

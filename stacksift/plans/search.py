@@ -13,11 +13,15 @@ def index(d) -> str:
 term AS (SELECT term, count(DISTINCT work) AS df FROM posting GROUP BY term),
 query AS (SELECT 1 AS qid, lower(min(p_name)) AS q FROM part UNION ALL SELECT 2, substr(lower(max(p_name)), 1, length(max(p_name)) - 2) FROM part UNION ALL SELECT 3, concat(substr(lower(max(p_name)), 1, 1), substr(lower(max(p_name)), 3)) FROM part),
 token AS (SELECT qid, i, {"element_at(split(q, ' '), CAST(i AS INT))" if d.text == "STRING" else "split(q, ' ')[i]"} AS token, i = {d.size}(split(q, ' ')) AS final, {d.size}(split(q, ' ')) AS n FROM (SELECT qid, q, {d.each(d.seq('1', d.size + "(split(q, ' '))"))} AS i FROM query) y),
-expanded AS (SELECT qid, i, n, token, term, df, max(weight) AS weight FROM (
- SELECT qid, i, n, token, term, df, 1.0e0 AS weight FROM token JOIN term ON term = token
- UNION ALL SELECT qid, i, n, token, term, df, CASE WHEN length(token) >= 4 THEN 0.9e0 ELSE 0.75e0 END FROM token JOIN term ON final AND length(token) >= 2 AND term LIKE concat(token, '%') AND term <> token
- UNION ALL SELECT qid, i, n, token, term, df, CASE WHEN levenshtein(token, term) = 1 THEN 0.72e0 ELSE 0.5e0 END FROM token JOIN term ON abs(length(term) - length(token)) <= 2 AND levenshtein(token, term) BETWEEN 1 AND (CASE WHEN length(token) <= 3 THEN 0 WHEN length(token) <= 6 THEN 1 ELSE 2 END)
- WHERE NOT EXISTS (SELECT 1 FROM term e WHERE e.term = token)) z GROUP BY qid, i, n, token, term, df)"""
+gram AS (SELECT DISTINCT term, df, substr(concat('$', term, '$'), CAST(i AS INT), 3) AS gram FROM (SELECT term, df, {d.each(d.seq('1', 'length(term)'))} AS i FROM term) x),
+exact AS (SELECT qid, i, n, token, term, df, 1.0e0 AS weight FROM token JOIN term ON term = token),
+begun AS (SELECT * FROM (SELECT qid, i, n, token, term, df, CASE WHEN length(token) >= 4 THEN 0.9e0 ELSE 0.75e0 END AS weight, row_number() OVER (PARTITION BY qid, i ORDER BY df DESC, term) AS place FROM token JOIN term ON substr(term, 1, 2) = substr(token, 1, 2) WHERE final AND length(token) >= 2 AND term LIKE concat(token, '%') AND term <> token) b WHERE place <= 12),
+known AS (SELECT qid, i, sum(CASE WHEN weight = 1 THEN df ELSE 0 END) AS own, sum(CASE WHEN weight < 1 THEN df ELSE 0 END) AS longer FROM (SELECT qid, i, df, weight FROM exact UNION ALL SELECT qid, i, df, weight FROM begun) k GROUP BY qid, i),
+sparse AS (SELECT t.* FROM token t LEFT JOIN known k ON t.qid = k.qid AND t.i = k.i WHERE coalesce(own, 0) < 50 AND (coalesce(longer, 0) < 20 OR coalesce(own, 0) = 0)),
+asked AS (SELECT qid, i, n, token, substr(concat('$', token, '$'), CAST(j AS INT), 3) AS gram FROM (SELECT *, {d.each(d.seq('1', 'length(token)'))} AS j FROM sparse) x),
+near AS (SELECT qid, i, n, token, term, df, count(*) AS shared FROM asked JOIN gram ON asked.gram = gram.gram GROUP BY qid, i, n, token, term, df),
+fuzzy AS (SELECT * FROM (SELECT *, CASE WHEN levenshtein(token, term) = 1 THEN 0.72e0 ELSE 0.5e0 END AS weight, row_number() OVER (PARTITION BY qid, i ORDER BY levenshtein(token, term), df DESC, term) AS place FROM near WHERE levenshtein(token, term) BETWEEN 1 AND (CASE WHEN length(token) <= 3 THEN 0 WHEN length(token) <= 6 THEN 1 ELSE 2 END)) f WHERE place <= 60),
+expanded AS (SELECT qid, i, n, token, term, df, max(weight) AS weight FROM (SELECT qid, i, n, token, term, df, weight FROM exact UNION ALL SELECT qid, i, n, token, term, df, weight FROM begun UNION ALL SELECT qid, i, n, token, term, df, weight FROM fuzzy) z GROUP BY qid, i, n, token, term, df)"""
 
 
 @plan
