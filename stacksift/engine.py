@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .operators import search as S
+from .operators.recommend import diversified
 
 MOST = 50
 
@@ -61,3 +64,35 @@ class Engine:
         hits = S.search(self.index, text, 20)
         facets = hits.join(self.works.select("work", "language"), "work").groupBy("language").agg(F.count("*").alias("n")).filter("n >= 2").orderBy(F.col("n").desc(), "language").limit(5)
         return {**self.suggest(text), "completions": [r["term"] for r in S.completions(self.index, last[0]).collect()], "facets": [(r["language"], r["n"]) for r in facets.collect()]}
+
+    def recommend(self, kind: str, seed, limit: int = 12) -> DataFrame:
+        """(work, place) for a seed: a ``work``, a ``writer``, a ``saga`` (a series' name), a ``mix`` of works, or a ``library``
+        of works with weights. None of the seeds comes back, and no author more than twice."""
+        if kind not in ("work", "writer", "saga", "mix", "library"):
+            raise ValueError(f"no such seed: {kind}")
+        w = self.works
+        if kind in ("writer", "saga"):
+            seeds = w.filter(F.col("author" if kind == "writer" else "series") == seed).select("work", F.lit(1.0).alias("weight"))
+        else:
+            given = {"work": lambda: [(seed, 1.0)], "mix": lambda: [(x, 1.0) for x in seed], "library": lambda: list(seed.items())}[kind]()
+            seeds = w.sparkSession.createDataFrame([(int(k), float(v)) for k, v in given], "work long, weight double")
+        idf = self.index.terms.select("term", (1 / F.log(F.col("df") + 2.0)).alias("idf"))
+        titles = self.index.postings.filter("field = 'title'").select("work", "term")
+        taste = titles.join(F.broadcast(seeds), "work").groupBy("term").agg(F.sum("weight").alias("weight")).join(idf, "term")  # one seed's works
+        found = titles.join(F.broadcast(seeds.select("work")), "work", "left_anti").join(taste, "term").groupBy("work").agg(F.sum(F.col("weight") * F.col("idf")).alias("overlap"))
+        scored = found.join(w, "work").select(F.lit(1).cast("long").alias("request"), "work", "author", F.col("language").alias("cluster"), "title", (0.7 * F.col("overlap") + 0.3 * F.col("popularity")).alias("score"))
+        best = scored.orderBy(F.col("score").desc(), "work").limit(5 * limit)
+        return diversified(best, limit).select("work", "place")
+
+    def evaluate(self, rank: Callable[[Engine, int], list[int]], expected: dict[int, set[int]], depth: int = 20) -> dict[str, float]:
+        """Recall and mean reciprocal rank of any ranking, given as a function of the engine and a work."""
+        recall, reciprocal = [], []
+        for work, wanted in expected.items():
+            got = rank(self, work)[:depth]
+            recall.append(len(wanted.intersection(got)) / max(1, len(wanted)))
+            reciprocal.append(next((1 / n for n, x in enumerate(got, 1) if x in wanted), 0.0))
+        return {"recall": sum(recall) / max(1, len(recall)), "mrr": sum(reciprocal) / max(1, len(reciprocal))}
+
+    def resolve(self, work: int, other: Callable[[int], object] | None = None):
+        """A work of this catalogue, else what another one's look-up gives."""
+        return self.work(work) or (other(work) if other else None)

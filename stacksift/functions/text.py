@@ -13,7 +13,6 @@ CJK = re.compile(r"[぀-ヿ㐀-鿿]+")
 WORD = re.compile(r"[぀-ヿ㐀-鿿]+|[^\W_]+")
 #: Letters that decomposition leaves whole.
 WHOLE = str.maketrans({"ł": "l", "ø": "o", "đ": "d", "ß": "ss", "æ": "ae", "œ": "oe", "þ": "th", "ð": "d", "ı": "i", "ё": "е"})
-ABBREVIATIONS = {"mr", "mrs", "ms", "dr", "st", "prof", "etc", "vs", "no", "vol"}
 
 
 def fold(text: str) -> str:
@@ -80,12 +79,19 @@ def fnv1a64(data: bytes) -> int:
     return h
 
 
+def abbreviates(word: str, behind: str) -> bool:
+    """Whether a stop behind a word belongs to the word: short words without a vowel (Mr, Dr, vs), single letters, and words that
+    a figure or a small letter follows."""
+    short = len(word) <= 4 and not re.search(r"[aeiouyà-ÿ]", word.lower())
+    return short or len(word) == 1 or bool(re.match(r"[\da-zß-ÿ]", behind))
+
+
 def sentences(text: str) -> list[tuple[int, str]]:
-    """Sentences with their offsets; abbreviations don't end one."""
+    """Sentences with their offsets; a stop that belongs to its word doesn't end one."""
     out, start = [], 0
     for m in re.finditer(r"[.!?…]+[\"'»”)]*\s+", text):
-        word = re.search(r"(\w+)[.!?…]+\W*$", text[start : m.end()])
-        if word and word[1].lower() in ABBREVIATIONS:
+        word = re.search(r"(\w+)\.$", text[start : m.end()].rstrip())
+        if word and abbreviates(word[1], text[m.end() : m.end() + 1]):
             continue
         out.append((start, text[start : m.end()].strip()))
         start = m.end()

@@ -111,7 +111,8 @@ def stream_decay_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.drained(S.decaying(S.events(spark, f"{sf_dir}/events.parquet")), "append")
 
 
-@query()
+@query(r"""WITH w AS (SELECT doc_id, regexp_extract_all(strip_accents(replace(lower(replace(replace(text, chr(39), ''), '’', '')), 'ß', 'ss')), '[\p{L}\p{N}]+') AS w FROM documents)
+SELECT doc_id, CAST(flatten([[t[1 + 24 * k : 24 + 24 * k] FOR k IN range((length(t) + 23) // 24)] FOR t IN w]) AS VARCHAR[]) AS tokens FROM w""")
 def fold_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unicode tokens of whole texts."""
     return read(spark, sf_dir, "documents").select("doc_id", T.udf(T.tokens, "array<string>")("text").alias("tokens"))
@@ -129,6 +130,35 @@ def dialogue_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "conversations").select("conv_id", "turn", F.explode(found).alias("s")).select("conv_id", "turn", "s.at", "s.kind", "s.said")
 
 
+@query("""WITH d AS (SELECT p_partkey AS work, p_partkey * 104729 % 1000000000 AS n, p_size FROM part), h AS (SELECT work, n, '978' || lpad(n::VARCHAR, 9, '0') AS s FROM d WHERE p_size % 4 <> 0)
+SELECT work, s || (10 - list_sum([substr(s, i, 1)::INT * if(i % 2 = 0, 3, 1) FOR i IN range(1, 13)]) % 10)::INT % 10 AS isbn FROM h""")
+def isbn_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers written in three ways, of ten and of thirteen digits, in one form; those with a false check digit go."""
+    part = read(spark, sf_dir, "part")
+    nine = F.lpad((F.col("p_partkey") * 104729 % 1000000000).cast("string"), 9, "0")
+    digit = lambda s, i: F.substring(s, i + 1, 1).cast("int")
+    whole = F.concat(F.lit("978"), nine)
+    ean = (10 - sum((digit(whole, i) * (3 if i % 2 else 1) for i in range(12)), F.lit(0)) % 10) % 10
+    old = (11 - sum((digit(nine, i) * (10 - i) for i in range(9)), F.lit(0)) % 11) % 11
+    ten = F.concat(nine, F.when(old == 10, "x").otherwise(old.cast("string")))
+    kind = F.col("p_size") % 4
+    raw = F.when(kind == 0, F.concat(whole, ((ean + 1) % 10).cast("string"))).when(kind == 1, F.concat(F.lit("ISBN 978-"), nine, F.lit("-"), ean.cast("string"))).when(kind == 2, ten).otherwise(F.concat(whole, ean.cast("string")))
+    return part.select(F.col("p_partkey").alias("work"), T.udf(T.isbn13, "string")(raw).alias("isbn")).filter("isbn IS NOT NULL")
+
+
+@query("""SELECT c_custkey AS id, lower(hex(list_reduce(list_prepend(14695981039346656037::UHUGEINT, [ascii(substr(c_name, i, 1))::UHUGEINT FOR i IN range(1, length(c_name) + 1)]), lambda h, b: (xor(h::UBIGINT, b::UBIGINT)::UHUGEINT * 1099511628211) % 18446744073709551616)::UBIGINT)) AS fnv FROM customer""")
+def fnv_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FNV-1a of names, in hexadecimal."""
+    return read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), T.udf(lambda x: format(T.fnv1a64(x.encode()), "X").lower(), "string")("c_name").alias("fnv"))
+
+
+@query("SELECT doc_id, md5(text) AS text FROM documents")
+def mojibake_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts that were read as Windows-1252 as they were before; what can't have been stays."""
+    spoil = T.udf(lambda x: bytes(x.encode()).decode("cp1252") if all(b not in x.encode() for b in (0x81, 0x8D, 0x8F, 0x90, 0x9D)) else x, "string")
+    return read(spark, sf_dir, "documents").select("doc_id", F.md5(T.udf(T.repaired, "string")(spoil("text"))).alias("text"))
+
+
 @query("SELECT a.n_name AS a, b.n_name AS b FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey AND levenshtein(a.n_name, b.n_name) <= 1")
 def near_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names within one edit: such pairs share the name itself or a spelling with one letter left out; then verified."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from .dialect import plan
 
-#: Articles that keys drop, and stop words by language.
+#: Articles that keys drop, and common words of four languages, this module's own choice.
 ARTICLES = "the|a|an|le|la|les|der|die|das|el|los|las"
 STOP = {"en": "the|and|of|to|in|is|that|was|for|with", "fr": "le|la|les|et|des|une|que|est|pour|dans", "de": "der|die|und|das|ist|nicht|ein|mit|von|den", "es": "el|los|las|y|que|de|una|por|con|del"}
 #: Letters and what they fold to.
