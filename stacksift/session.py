@@ -6,6 +6,7 @@ import functools
 import os
 import shutil
 import tempfile
+import time
 from collections.abc import Callable
 from pathlib import Path
 
@@ -51,3 +52,22 @@ def shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkS
         return query(spark, sf_dir)
 
     return run
+
+
+#: Beginnings of the names of intermediate tables in the shared folder.
+INTERMEDIATE = ("cut-", "stream-", "view-", "refreshed-", "snapshots-", "works-", "members-", "state-", "requests-")
+
+
+def clear_intermediate(spark: SparkSession, hours: float = 24.0) -> int:
+    """Delete intermediate tables older than ``hours`` from the session's shared folder, and say how many. Lazy results read them
+    until they are written out, so a job calls this after its last write, or a later one with an age that no job reaches."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        return 0
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    before, gone = (time.time() - hours * 3600) * 1000, 0
+    for status in fs.listStatus(path) if fs.exists(path) else ():
+        if status.getPath().getName().startswith(INTERMEDIATE) and status.getModificationTime() <= before:
+            gone += bool(fs.delete(status.getPath(), True))
+    return gone

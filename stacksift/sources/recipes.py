@@ -128,7 +128,7 @@ def applied(pages: DataFrame, recipe: Recipe, linked: dict[str, str] | None = No
                             break
                         found |= {name: plain(next(iter(taken(linked[address], pick)), "")) for name, pick in step.get("fields", {}).items()}
                     address = FIELD.sub(lambda m, f=found: f.get(m[1], ""), recipe.address)
-                    rows.append((page, n, list(found.items()), address, fault))
+                    rows.append((page, n, found, address, fault))
             yield pd.DataFrame(rows, columns=["page", "row", "fields", "address", "fault"]).astype({"row": "int32"})
 
     return pages.select("page", "text").mapInPandas(run, RESULT)

@@ -58,3 +58,28 @@ def test_soft_similarity(spark):
 
     rows = spark.createDataFrame([("dune", "dune"), ("dun", "dune"), ("dine", "dune"), ("silmarilion", "silmarillion"), ("a", "b")], "a string, b string")
     assert [round(r[0], 3) for r in rows.select(S.soft_similarity(F.col("a"), F.col("b"))).collect()] == [1.0, 0.6, 0.75, 0.75, 0.0]
+
+
+def test_seeds(engine):
+    works = lambda *seed: [r["work"] for r in engine.recommend(*seed).orderBy("place").collect()]
+    assert works("work", 2)[0] == 1 and 2 not in works("work", 2)
+    assert works("writer", "Frank Herbert") == [7] and works("saga", "Dune") == [7]
+    assert works("mix", [1, 7])[0] == 2
+    assert works("library", {2: 3.0, 5: 1.0}).count(6) == 1
+    with pytest.raises(ValueError):
+        engine.recommend("nothing", 1)
+
+
+def test_evaluation_and_resolver(engine):
+    got = engine.evaluate(lambda e, work: [r["work"] for r in e.similar(work).collect()], {2: {1, 7}, 4: {1}})
+    assert got == {"recall": 0.5, "mrr": 0.5}
+    assert engine.resolve(4)["title"] == "Emma" and engine.resolve(99, lambda w: w + 1) == 100 and engine.resolve(99) is None
+
+
+def test_misspellings_only_where_rare(spark):
+    many = [(n, f"dune volume{n}", "A", "en", None, None, 0.1, str(n)) for n in range(60)] + [(90, "dunes of sand", "B", "en", None, None, 0.1, "90"), (91, "june", "C", "en", None, None, 0.1, "91")]
+    big = Engine(spark.createDataFrame(many, "work long, title string, author string, language string, series string, position int, popularity double, number string"))
+    terms = lambda q: {r["term"] for r in S.expanded(big.index, q)[0].collect()}
+    assert terms("dune x") == {"dune"} and "dunes" in terms("dune")
+    assert "dune" in terms("dvne x") and "june" in terms("jvne x")
+    assert sum(t.startswith("volume") for t in terms("vol")) == S.COMPLETIONS
