@@ -15,7 +15,7 @@ from ..sources import records as R
 from .registry import query
 from .rules import read
 
-QUOTE = F.lit('"')
+QUOTE = "\""
 
 
 def line(kind: str, prefix: str, number: Column, suffix: str, date: Column, json: Column) -> Column:
@@ -155,7 +155,7 @@ def control(tag: str, value: Column) -> Column:
     return F.concat(F.lit(f'<controlfield tag="{tag}">'), value, F.lit("</controlfield>"))
 
 
-LEADER = F.lit("<record><leader>00000nam a2200000   4500</leader>")
+LEADER = "<record><leader>00000nam a2200000   4500</leader>"
 
 
 def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,7 +167,7 @@ def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def unimarc_books(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Literature of a French library from UNIMARC in XML."""
     form = F.when(F.col("p_size") % 4 == 0, "y").otherwise("a")
-    record = F.concat(LEADER, control("001", F.concat(F.lit("f"), "n")), subfield("010", a=F.col("isbn")), subfield("101", a=F.lit("fre")), subfield("105", a=F.concat(F.lit("y   z   00 "), form, F.lit("y"))), subfield("200", a=F.concat("p_name", F.lit(" &amp; more /"))), subfield("210", d=F.concat(F.lit("cop. "), "year")), subfield("225", a=F.col("p_type"), v=F.concat(F.lit("t. "), "volume")), subfield("700", a=F.lit("Lee"), b=F.lit("Ann")), F.lit("</record>"))
+    record = F.concat(F.lit(LEADER), control("001", F.concat(F.lit("f"), "n")), subfield("010", a=F.col("isbn")), subfield("101", a=F.lit("fre")), subfield("105", a=F.concat(F.lit("y   z   00 "), form, F.lit("y"))), subfield("200", a=F.concat("p_name", F.lit(" &amp; more /"))), subfield("210", d=F.concat(F.lit("cop. "), "year")), subfield("225", a=F.col("p_type"), v=F.concat(F.lit("t. "), "volume")), subfield("700", a=F.lit("Lee"), b=F.lit("Ann")), F.lit("</record>"))
     return shaped(L.library_books(parts(spark, sf_dir).select(record.alias("record")), "bnf"))
 
 
@@ -177,7 +177,7 @@ def authority_books(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = parts(spark, sf_dir)
     name = F.concat(F.lit("Lee, Ann"), F.translate((F.col("p_size") % 5).cast("string"), "0123456789", "abcdefghij"))
     fixed = F.concat(F.lit("200101s"), "year", F.lit("    sp            000 0 "), F.when(F.col("p_type") == "PROMO", "cat").otherwise("spa"), F.lit(" d"))
-    record = F.concat(LEADER, control("001", F.concat(F.lit("b"), "n")), control("008", fixed), subfield("020", a=F.col("isbn")), subfield("100", a=name, d=F.lit("1920-")), subfield("245", a=F.col("p_name")), F.lit("</record>"))
+    record = F.concat(F.lit(LEADER), control("001", F.concat(F.lit("b"), "n")), control("008", fixed), subfield("020", a=F.col("isbn")), subfield("100", a=name, d=F.lit("1920-")), subfield("245", a=F.col("p_name")), F.lit("</record>"))
     fields = R.marc_xml(rows.select(record.alias("record")))
     person = lambda n, ident: F.concat(F.lit("<record>"), control("001", F.lit(f"p{n}{ident}")), subfield("024", a=F.lit(ident)), subfield("100", a=F.lit(f"Lee, Ann{'abcde'[n]}"), d=F.lit("1920-1990")), F.lit("</record>"))
     people = R.marc_xml(spark.range(1).select(F.explode(F.array(person(1, "viaf1"), person(2, "viaf2"), person(3, "viaf3"), person(3, "viaf4"))).alias("record")))
@@ -188,7 +188,7 @@ def authority_books(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(book_check("'i' || p_partkey", "p_name", "if(p_size % 2 = 0, 'Ann Lee', if(p_size % 3 = 0, 'Bo Ek', ''))", "1950 + p_size", "p_type", "1 + p_size % 9", "p_partkey % 7 <> 0"))
 def json_ld_books(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Books of a Swedish library from JSON-LD; linked authors' names come from a second file."""
-    j = lambda c: F.concat(QUOTE, c, QUOTE)
+    j = lambda c: F.concat(F.lit(QUOTE), c, F.lit(QUOTE))
     agent = F.when(F.col("p_size") % 2 == 0, F.lit('{"givenName":"Ann","familyName":"Lee"}')).otherwise(F.concat(F.lit('{"@id":"http://l/p'), (F.col("p_size") % 3).cast("string"), F.lit('"}')))
     tongue = F.when(F.col("p_partkey") % 7 == 0, "nor").otherwise("swe")
     record = F.concat(F.lit('{"@graph":[{},{"@id":"http://l/i'), "n", F.lit('","identifiedBy":[{"@type":"LCCN","value":"1"},{"@type":"ISBN","value":'), j(F.col("isbn")), F.lit('}],"hasTitle":[{"mainTitle":'), j(F.col("p_name")), F.lit('}],"instanceOf":{"language":[{"@id":"https://id/language/'), tongue, F.lit('"}],"contribution":[{"@type":"PrimaryContribution","agent":'), agent, F.lit('}]},"publication":[{"year":'), j(F.col("year")), F.lit('}],"seriesMembership":[{"seriesStatement":'), j(F.col("p_type")), F.lit(',"seriesEnumeration":"del '), "volume", F.lit('"}]}]}'))
