@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import saved
+
 #: Weights of kinds of match, depth of the rerank, floor of the results.
 AUTHOR, LONG_COMPLETION, SHORT_COMPLETION, ONE_EDIT, TWO_EDITS = 0.85, 0.9, 0.75, 0.72, 0.5
 DEPTH, FLOOR, COMPLETIONS, ANCHOR = 250, 0.45, 12, 0.8
@@ -34,11 +36,12 @@ def grams(term: Column) -> Column:
 
 
 def build(works: DataFrame) -> Index:
-    """From (work, title, author, popularity): postings by term and field, terms with their frequency and their grams."""
+    """From (work, title, author, popularity): postings by term and field, terms with their frequency and their grams, written
+    once for all queries."""
     parts = [works.select("work", F.explode(words(F.col(f))).alias("term"), F.lit(f).alias("field")) for f in ("title", "author")]
-    postings = parts[0].unionByName(parts[1]).distinct()
-    terms = postings.groupBy("term").agg(F.countDistinct("work").alias("df"))
-    return Index(works, postings, terms, terms.select("term", "df", F.explode(grams(F.col("term"))).alias("gram")))
+    postings = saved(parts[0].unionByName(parts[1]).distinct())
+    terms = saved(postings.groupBy("term").agg(F.countDistinct("work").alias("df")))
+    return Index(works, postings, terms, saved(terms.select("term", "df", F.explode(grams(F.col("term"))).alias("gram"))))
 
 
 def expanded(index: Index, query: str) -> tuple[DataFrame, int]:

@@ -58,10 +58,10 @@ def shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkS
 INTERMEDIATE = ("cut-", "stream-", "view-", "refreshed-", "snapshots-", "works-", "members-", "state-", "requests-")
 
 
-def clear_intermediate(spark: SparkSession, hours: float = 24.0) -> int:
-    """Delete intermediate tables older than ``hours`` from the session's shared folder, and say how many. Lazy results read them
+def clear_intermediate(spark: SparkSession, hours: float = 24.0, folder: str | None = None) -> int:
+    """Delete intermediate tables older than ``hours`` from a folder, the session's shared one by default, and say how many. Lazy results read them
     until they are written out, so a job calls this after its last write, or a later one with an age that no job reaches."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = folder or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         return 0
     path = spark._jvm.org.apache.hadoop.fs.Path(root)

@@ -174,10 +174,5 @@ def test_intermediate_tables_are_cleared(spark, tmp_path):
 
     for name in ("cut-a", "stream-b", "mine"):
         (tmp_path / name).mkdir()
-    old = spark.conf.get("spark.checkpoint.dir", None)
-    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
-    try:
-        assert clear_intermediate(spark, 1.0) == 0 and clear_intermediate(spark, -1.0) == 2
-    finally:
-        spark.conf.unset("spark.checkpoint.dir") if old is None else spark.conf.set("spark.checkpoint.dir", old)
+    assert clear_intermediate(spark, 1.0, str(tmp_path)) == 0 and clear_intermediate(spark, -1.0, str(tmp_path)) == 2
     assert [p.name for p in tmp_path.iterdir()] == ["mine"]
