@@ -10,7 +10,7 @@ group gives as many edges as members.
 
 Defined cases: a null text has no words. No words give the fingerprint zero, which links like any other. Equal texts,
 repeated rows and rows without doc_id have the fingerprint of their text; a component made of such rows only has a null
-component_id. An empty table gives an empty result. Other columns are ignored.
+component_id (2^63 - 1 counts as no id). An empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -117,19 +117,22 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-PACKED_DDL, EDGE_DDL = "bucket long, payload binary", "a long, b long"
+NODE_DDL = "struct<least:long,fp:long>"
+PACKED_DDL, EDGE_DDL = "bucket long, payload binary", f"a {NODE_DDL}, b {NODE_DDL}"
+#: The least id of a fingerprint whose rows have none.
+NONE = np.iinfo(np.int64).max
 
 
 def _emit(buckets: int):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = batch.column(0).to_numpy()
-            for part in np.array_split(fp, fp.size // 4000 + 1):
+            fps, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for part, least in zip(*(np.array_split(x, fps.size // 4000 + 1) for x in (fps, ids)), strict=True):
                 who, key = keys(part)
                 place = (mix(key.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(place, kind="stable")
                 at = np.flatnonzero(np.append(True, np.diff(place[order]) != 0)) if order.size else order
-                rows = [(int(place[s[0]]), pack(key[s].astype(np.uint32), part[who[s]])) for s in np.split(order, at[1:]) if s.size]
+                rows = [(int(place[s[0]]), pack(key[s].astype(np.uint32), part[who[s]], least[who[s]])) for s in np.split(order, at[1:]) if s.size]
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "payload"])
 
     return emit
@@ -193,9 +196,11 @@ def links(key: np.ndarray, fp: np.ndarray, distance: int) -> tuple[np.ndarray, n
 
 
 def _verify(distance: int):
-    def verify(key, group):
-        a, b = links(*merged(group.column("payload").to_pylist()), distance)
-        return pa.Table.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+    def verify(_, group):
+        key, fp, least = merged(group.column("payload").to_pylist())
+        known, at = np.unique(fp, return_index=True)
+        node = lambda x: pa.StructArray.from_arrays([pa.array(least[at[np.searchsorted(known, x)]], pa.int64()), pa.array(x, pa.int64())], ["least", "fp"])
+        return pa.Table.from_arrays([*map(node, links(key, fp, distance))], ["a", "b"])
 
     return verify
 
@@ -206,20 +211,18 @@ def _row() -> Column:
 
 
 def near_duplicates(docs: DataFrame, distance: int = 4) -> DataFrame:
-    """Per row: doc_id, row (its name), fp (signed long), component (the least name of its fingerprints: whether there is
-    no id, the least id, the fingerprint) and component_id."""
+    """Per row: doc_id, row (its name), fp (signed long), component (the least name of its fingerprints: their least id and the
+    fingerprint) and component_id."""
     assert 0 <= distance <= 4, "three segments with two errors each find up to four differing bits"
     rows = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), _row().alias("row"), "text").mapInArrow(lean(_fingerprints), "doc_id long, row struct<doc:long,hash:long>, fp long"))
-    # fingerprints are named so that the least name of a component tells its least id: no join gathers a component
-    node = F.struct(F.col("least").isNull().alias("last"), "least", "fp")
-    names = rows.groupBy("fp").agg(F.min("doc_id").alias("least")).select("fp", node.alias("node"))
+    # a fingerprint's name, its least id with it, goes along with its keys: the least name of a component tells its least id,
+    # and no join or group gathers a component or the links of its head
+    names = rows.groupBy("fp").agg(F.coalesce(F.min("doc_id"), F.lit(int(NONE))).alias("least"))
     buckets = max(8, -(-rows.count() * 84 // BUCKET_KEYS))
-    found = names.select("fp").mapInArrow(lean(_emit(buckets)), PACKED_DDL).groupBy("bucket").applyInArrow(lean_group(_verify(distance)), EDGE_DDL)
-    ends = [names.select(F.col("fp").alias(end), F.col("node").alias(f"{end}_node")) for end in ("a", "b")]
-    edges = found.join(ends[0], "a").join(ends[1], "b").select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
-    group = components(edges).select(F.col("node.fp").alias("fp"), "component")
-    named = names.join(group, "fp", "left").select("fp", F.coalesce("component", "node").alias("component"))
-    return rows.join(named, "fp").select("doc_id", "row", "fp", "component", F.col("component.least").alias("component_id"))
+    found = names.select("fp", "least").mapInArrow(lean(_emit(buckets)), PACKED_DDL).groupBy("bucket").applyInArrow(lean_group(_verify(distance)), EDGE_DDL)
+    group = components(found).select(F.col("node.fp").alias("fp"), "component")
+    named = names.join(group, "fp", "left").select("fp", F.coalesce("component", F.struct("least", "fp")).alias("component"))
+    return rows.join(named, "fp").select("doc_id", "row", "fp", "component", F.nullif(F.col("component.least"), F.lit(int(NONE))).alias("component_id"))
 
 
 def keep_first(docs: DataFrame, distance: int = 4) -> DataFrame:
