@@ -427,10 +427,12 @@ def _extract(weights: np.ndarray):
 
 
 def fitted(pages: DataFrame, most: int = FIT_PAGES) -> np.ndarray:
-    """Weights from a sample of at most ``most`` pages, chosen by hash and not by order."""
-    fit_for = pages.filter((F.length("html") <= FIT_CHARS) & F.col("html").rlike("(?i)<(article|main)[ >]")).select("html", F.xxhash64("page_id", "html").alias("slot")).distinct()
-    rows = fit_for.orderBy("slot", "html").limit(most).collect()  # bounded: pages and their length
-    return fit([r["html"] for r in rows])
+    """Weights from a sample of at most ``most`` pages, chosen by hash and not by order: only theirs leave their tasks."""
+    slot = F.pmod(F.xxhash64("page_id", "html"), F.lit(1 << 30))
+    marked = pages.filter((F.length("html") <= FIT_CHARS) & F.col("html").rlike("(?i)<(article|main)[ >]")).select("html", slot.alias("slot"))
+    share = min(1.0, most / max(1, marked.count()))
+    rows = marked.filter(F.col("slot") < int(share * (1 << 30))).limit(2 * most).collect()  # bounded: pages and their length
+    return fit([r["html"] for r in sorted(rows, key=lambda r: (r["slot"], r["html"]))[:most]])
 
 
 def extract(pages: DataFrame, most: int = FIT_PAGES) -> DataFrame:
