@@ -4,11 +4,14 @@ import re
 from collections import Counter
 from datetime import date, datetime
 
+import duckdb
 import pytest
 
 import __spark_entry__ as entry
 from stacksift.operators.recommend import diversified
 
+from .compare import both
+
 LONG = "word " * 900 + "no no no " + "one two three four five six " * 3 + "und der die das "
 DOCS = [(1, LONG, "en", "a", len(LONG)), (2, "go go go go", "en", "a", None), (3, "Short and plain", "en", "b", 15), (4, "x" * 5000 + " que le temps", "fr", "b", 5013), (5, "ж" * 4000 + "ab", "en", "b", 4002)]
 
@@ -183,3 +186,33 @@ def test_days_follow_the_events(run):
     rows = [(n, t) for n, t in enumerate(["2023-12-30 10:00:00", "2024-02-20 10:00:00", "2024-02-20 11:00:00"])]
     got = run("week_frame", events=([(n, datetime.fromisoformat(t)) for n, t in rows], "event_id long, ts timestamp_ntz"), pages=([(1,)], "page_id long"))
     assert len(got) == 53 and min(got) == (date(2023, 12, 30), 1, 1) and max(got) == (date(2024, 2, 20), 2, 2)
+
+
+def shuffled(df):
+    """Rows that a frame's exchanges wrote, once it has been collected."""
+
+    def rows(node):
+        kind = node.nodeName()
+        if kind == "AdaptiveSparkPlan":
+            return rows(node.executedPlan())
+        if kind.endswith("QueryStage"):
+            return rows(node.plan())
+        own = node.metrics().get("shuffleRecordsWritten").get().value() if kind == "Exchange" else 0
+        return own + sum(rows(node.children().apply(i)) for i in range(node.children().size()))
+
+    df.collect()
+    return rows(df._jdf.queryExecution().executedPlan())
+
+
+def test_aversion_moves_fewer_rows_than_it_returns(spark, tmp_path):
+    kinds = [("bolt widget", "a", "SMALL"), ("red widget", "b", "LARGE"), ("red bolt", None, "SMALL"), ("red gear", "c", "gear"), ("gear", "a", "red")]
+    parts = [(n, *kinds[n % 5]) for n in range(1500)] + [(7, "bolt gear", "d", "SMALL"), (None, "bolt widget", "a", "SMALL")]
+    log = [(n, n % 97 if n % 13 else None, "purchase", float(n % 7)) for n in range(400)]
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_brand string, p_type string").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame([(datetime(2024, 1, 1), *r[1:]) for r in log], "ts timestamp_ntz, user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    found = duckdb.connect()
+    for name in ("part", "events"):
+        found.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    ours, theirs = both(spark, found, str(tmp_path), entry.queries()["aversion"], entry.oracle_sql()["aversion"])
+    assert ours == theirs and len(ours) > 30_000
+    assert shuffled(entry.queries()["aversion"](spark, str(tmp_path))) < len(ours) / 2
