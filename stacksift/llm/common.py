@@ -85,7 +85,7 @@ def merged(payloads: list[bytes]) -> list[np.ndarray]:
     return [np.concatenate(x) for x in zip(*map(unpack, payloads), strict=True)]
 
 
-def _give_back() -> None:
+def give_back() -> None:
     """Freed memory goes back to the system: a worker process outlives its task."""
     pa.default_memory_pool().release_unused()
     try:
@@ -99,7 +99,7 @@ def lean(f: Callable) -> Callable:
 
     def run(batches):
         yield from f(batches)
-        _give_back()
+        give_back()
 
     return run
 
@@ -107,7 +107,7 @@ def lean(f: Callable) -> Callable:
 def lean_group(f: Callable) -> Callable:
     def run(key, group):
         out = f(key, group)
-        _give_back()
+        give_back()
         return out
 
     return run
@@ -116,7 +116,7 @@ def lean_group(f: Callable) -> Callable:
 def lean_pair(f: Callable) -> Callable:
     def run(key, left, right):
         out = f(key, left, right)
-        _give_back()
+        give_back()
         return out
 
     return run

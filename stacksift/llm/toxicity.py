@@ -10,7 +10,7 @@ softmax moving together.
 At scoring time softmax and average are both linear, so each n-gram bucket has one number: its embedding's product with
 the softmax's direction. What the executors get is that vector, of fixed size.
 
-The fit uses at most ``caps`` labelled documents; every whole text is scored. Defined cases: a null or empty text has no
+The fit uses at most ``caps`` labelled documents and holds the n-grams of their distinct words; every whole text is scored. Defined cases: a null or empty text has no
 window and scores as the softmax's bias. Without labels of both kinds all scores are the share of label 1. Repeated rows
 score alike, rows without doc_id aren't held out. An empty table gives an empty result. Other columns are ignored.
 """
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, lean, mix, texts
+from .common import Rolling, give_back, lean, mix, texts
 from .labelled import held_out, sample
 
 BASE, BUCKETS, DIM = 0x9E3779B97F4A7C15, 1 << 18, 4
@@ -49,56 +49,80 @@ def _parts(some: list[bytes]) -> Iterator[list[bytes]]:
         yield part
 
 
+def _ranges(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The whole numbers from each begin to before its end, and which range each is from."""
+    size = end - begin
+    of = np.repeat(np.arange(size.size, dtype=np.int32), size)
+    return of, np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(of.size)
+
+
+def _words(some: list[bytes]) -> tuple[np.ndarray, ...]:
+    """Bytes of all texts; first byte, end and name of each word, a run of one word once; words of each text."""
+    raw = np.frombuffer((b" " + b" ".join(some) + b" ").translate(LETTERS), np.uint8)
+    space = raw == 32
+    starts, ends = np.flatnonzero(space[:-1] & ~space[1:]) + 1, np.flatnonzero(~space[:-1] & space[1:]) + 1
+    name = Rolling(raw, BASE).span(starts, ends)
+    fresh = np.append(True, name[1:] != name[:-1])[: name.size]
+    starts, ends, name = starts[fresh], ends[fresh], name[fresh]
+    edge = np.cumsum([1, *(len(t) + 1 for t in some)])
+    return raw, starts, ends, name, np.diff(np.searchsorted(starts, edge))
+
+
+def _grams(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """N-gram buckets of words with the bytes beside them, word by word, and how many each has."""
+    counts, buckets, owners = np.zeros(starts.size, np.int32), [], []
+    rolling = Rolling(raw, BASE)
+    for n in GRAMS:
+        of, at = _ranges(starts - 1, np.maximum(ends + 2 - n, starts - 1))
+        buckets.append((mix(rolling.span(at, at + n) + np.uint64(n)) & np.uint64(BUCKETS - 1)).astype(np.int32))
+        owners.append(of)
+        counts += np.bincount(of, minlength=starts.size).astype(np.int32)
+    return np.concatenate(buckets)[np.argsort(np.concatenate(owners), kind="stable")], counts
+
+
 class Bags:
-    """N-gram buckets of some texts, by word; windows of words, by text."""
+    """N-gram buckets of some texts, by distinct word: a word has the same ones wherever it stands; windows of words, by text."""
 
     def __init__(self, some: list[bytes]):
-        raw = np.frombuffer((b" " + b" ".join(some) + b" ").translate(LETTERS), np.uint8)
-        space = raw == 32
-        starts = np.flatnonzero(space[:-1] & ~space[1:]) + 1
-        word_of = np.cumsum(np.append(False, space[:-1] & ~space[1:])) - 1
-        gaps = np.append(0, np.cumsum(space))
-        rolling = Rolling(raw, BASE)
-        name = rolling.span(starts, np.flatnonzero(~space[:-1] & space[1:]) + 1)
-        fresh = np.ones(starts.size, bool)  # a run of one word counts once
-        fresh[1:] = name[1:] != name[:-1]
-        starts, number = starts[fresh], np.append(np.where(fresh, np.cumsum(fresh) - 1, -1), -1).astype(np.int32)
-        self.n_words = starts.size
-        word, bucket = [], []
-        for n in GRAMS:
-            at = np.flatnonzero(gaps[n - 1 : raw.size] == gaps[1 : raw.size - n + 2]) if raw.size >= n else starts[:0]
-            of = number[word_of[at + 1]]
-            at, of = at[of >= 0], of[of >= 0]
-            bucket.append((mix(rolling.span(at, at + n) + np.uint64(n)) & np.uint64(BUCKETS - 1)).astype(np.int32))
-            word.append(of)
-        self.word, self.bucket = np.concatenate(word), np.concatenate(bucket)
-        edge = np.cumsum([1, *(len(t) + 1 for t in some)])
-        first = np.searchsorted(starts, edge)
-        self.counts = np.bincount(self.word, minlength=self.n_words)
-        size = np.diff(first)
+        nothing = np.zeros(0, np.int32)
+        self.gram, self.counts, self.docs = nothing, nothing, len(some)
+        names, numbers = np.zeros(0, np.uint64), nothing  # of the distinct words so far, names in order
+        words, sizes, held = [nothing], [nothing], 0
+        for part in _parts(some):
+            raw, starts, ends, name, size = _words(part)
+            found, first, which = np.unique(name, return_index=True, return_inverse=True)
+            at = np.searchsorted(names, found)
+            new = (at == names.size) | (np.append(names, np.uint64(0))[at] != found)
+            number = np.empty(found.size, np.int32)
+            number[~new] = numbers[at[~new]]
+            number[new] = held + np.arange(new.sum())
+            held += int(new.sum())
+            names, numbers = np.insert(names, at[new], found[new]), np.insert(numbers, at[new], number[new])
+            gram, counts = _grams(raw, starts[first[new]], ends[first[new]])
+            self.gram, self.counts = np.concatenate([self.gram, gram]), np.concatenate([self.counts, counts])
+            words.append(number[which])
+            sizes.append(size)
+        self.words, size = np.concatenate(words), np.concatenate(sizes)
+        self.first = np.append(0, np.cumsum(size, dtype=np.int64))
+        self.edge = np.append(0, np.cumsum(self.counts, dtype=np.int64))
         per = np.where(size > 0, np.maximum(1, -(-(size - WINDOW) // STRIDE) + 1), 0)
         self.of = np.repeat(np.arange(size.size), per)
-        self.begin = first[:-1][self.of] + STRIDE * (np.arange(self.of.size) - np.repeat(np.cumsum(per) - per, per))
-        self.end = np.minimum(self.begin + WINDOW, first[1:][self.of])
-        self.docs = size.size
-        total = np.append(0, np.cumsum(self.counts))
+        self.begin = self.first[:-1][self.of] + STRIDE * (np.arange(self.of.size) - np.repeat(np.cumsum(per) - per, per))
+        self.end = np.minimum(self.begin + WINDOW, self.first[1:][self.of])
+        total = np.append(0, np.cumsum(self.counts[self.words], dtype=np.int64))
         self.weight = np.maximum(1, total[self.end] - total[self.begin])
 
-    @classmethod
-    def joined(cls, some: list[bytes]) -> Bags:
-        """The same, built in parts of bounded memory."""
-        parts = [cls(p) for p in _parts(some)]
-        self = cls([])
-        words = np.cumsum([0, *(p.n_words for p in parts)])
-        docs = np.cumsum([0, *(p.docs for p in parts)])
-        self.n_words, self.docs = int(words[-1]), int(docs[-1])
-        for name, shift in (("word", words), ("bucket", None), ("counts", None), ("of", docs), ("begin", words), ("end", words), ("weight", None)):
-            setattr(self, name, np.concatenate([getattr(p, name) + (0 if shift is None else getattr(p, name).dtype.type(x)) for p, x in zip(parts, words if shift is None else shift, strict=False)] or [getattr(self, name)]))
-        return self
+    def spread(self, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Buckets of the words from each begin to its end, and which of these runs each is from."""
+        row, at = _ranges(begin, end)
+        word = self.words[at]
+        owner, at = _ranges(self.edge[word], self.edge[word + 1])
+        return self.gram[at], row[owner]
 
     def means(self, value: np.ndarray) -> np.ndarray:
         """Of a number by bucket, in each window."""
-        total = np.append(0.0, np.cumsum(np.bincount(self.word, value[self.bucket], self.n_words)))
+        of = np.bincount(np.repeat(np.arange(self.counts.size, dtype=np.int32), self.counts), value[self.gram], self.counts.size)
+        total = np.append(0.0, np.cumsum(of[self.words]))
         return (total[self.end] - total[self.begin]) / self.weight
 
     def most(self, value: np.ndarray) -> np.ndarray:
@@ -127,16 +151,11 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 
 def _odds(bags: Bags, y: np.ndarray) -> np.ndarray:
     """Log-odds of label 1 by bucket from how many texts hold it: where embeddings start from."""
-    owner = np.zeros(max(bags.n_words, 1), np.int64)
+    ones, zeros = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
     for d in range(bags.docs):
-        own = np.searchsorted(bags.of, [d, d + 1])
-        if own[1] > own[0]:
-            owner[bags.begin[own[0]] : bags.end[own[1] - 1]] = d
-    pair = owner[bags.word] * np.int64(BUCKETS) + bags.bucket
-    pair.sort()
-    pair = pair[np.append(True, pair[1:] != pair[:-1])]
-    bucket, label = pair % BUCKETS, y[pair // BUCKETS]
-    ones, zeros = (np.bincount(bucket[label == v], minlength=BUCKETS) for v in (1, 0))
+        own = np.unique(bags.words[bags.first[d] : bags.first[d + 1]])
+        _, at = _ranges(bags.edge[own], bags.edge[own + 1])
+        (ones if y[d] == 1 else zeros)[np.unique(bags.gram[at])] += 1
     p, n = max(1, (y == 1).sum()), max(1, (y == 0).sum())
     odds = np.log((ones + 0.5) / (p + 1)) - np.log((zeros + 0.5) / (n + 1))
     return np.where(ones + zeros >= 4, np.clip(odds, -2, 5), 0.0)
@@ -146,7 +165,7 @@ def fit(some: list[bytes], y: np.ndarray, share: float, rounds: int = 6, steps:
     """Rounds choose each text's most toxic windows; steps move embeddings and softmax by their gradients (AdaGrad)."""
     if not (y == 1).any() or not (y == 0).any():
         return Model(np.zeros(1), 0.0, share)
-    bags, rng = Bags.joined(some), np.random.default_rng(seed)
+    bags, rng = Bags(some), np.random.default_rng(seed)
     table = rng.normal(0, 0.02, (BUCKETS, DIM))
     table[:, 0] += _odds(bags, y)
     direction, bias = np.append(2.0, np.full(DIM - 1, 0.1)), -4.0
@@ -154,17 +173,12 @@ def fit(some: list[bytes], y: np.ndarray, share: float, rounds: int = 6, steps:
     weight = np.where(y == 1, 1.0, (1 - share) / max(share, 1e-6) * (y == 1).sum() / (y == 0).sum())
     weight /= weight.mean()
     grown, drift, lean = np.full((BUCKETS, DIM), 1e-3), np.full(DIM, 1e-3), 1e-3
-    order = np.argsort(bags.word, kind="stable")
-    gram, edge = bags.bucket[order], np.append(0, np.cumsum(bags.counts))
     for _ in range(rounds):
         mean = bags.means(table @ direction)
         by = np.lexsort((-mean, bags.of))
         place = np.arange(by.size) - np.searchsorted(bags.of[by], bags.of[by])
         chosen = by[place < 3]
-        a, b = edge[bags.begin[chosen]], edge[bags.end[chosen]]
-        size = b - a
-        flat = gram[np.repeat(a - (np.cumsum(size) - size), size) + np.arange(size.sum())]
-        row = np.repeat(np.arange(chosen.size), size)
+        flat, row = bags.spread(bags.begin[chosen], bags.end[chosen])
         text = bags.of[chosen]
         for _ in range(steps):
             bag = np.stack([np.bincount(row, table[flat, d], chosen.size) for d in range(DIM)], axis=1) / bags.weight[chosen][:, None]
@@ -174,13 +188,14 @@ def fit(some: list[bytes], y: np.ndarray, share: float, rounds: int = 6, steps:
             p = _sigmoid(z)
             wrong = (p - y[text]) * weight[text] * (z == top[text]) / bags.docs
             pull = np.bincount(flat, (wrong / bags.weight[chosen])[row], BUCKETS)
-            slope = pull[:, None] * direction + 2e-6 * table * (pull != 0)[:, None]
+            hit = np.flatnonzero(pull)
+            slope = pull[hit, None] * direction + 2e-6 * table[hit]
             turn, tilt = wrong @ bag + 1e-4 * direction, wrong.sum()
             slope *= 50  # embeddings see a small part of each window
-            grown += slope**2
+            grown[hit] += slope**2
             drift += turn**2
             lean += tilt**2
-            table -= rate * slope / np.sqrt(grown)
+            table[hit] -= rate * slope / np.sqrt(grown[hit])
             direction = direction - rate / 4 * turn / np.sqrt(drift)
             bias -= rate / 4 * tilt / np.sqrt(lean)
     value = table @ direction
@@ -216,7 +231,9 @@ def _score(model: Model, threshold: float):
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int = 5, remainder: int = 0, caps: tuple[int, int] = CAPS) -> Model:
-    return fit(*sample(docs, labels, label, held_out(modulus, remainder), caps))
+    model = fit(*sample(docs, labels, label, held_out(modulus, remainder), caps))
+    give_back()  # the driver has other stages to run
+    return model
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, caps: tuple[int, int] = CAPS) -> DataFrame:

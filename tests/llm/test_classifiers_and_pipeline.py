@@ -1,3 +1,4 @@
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -92,6 +93,36 @@ def test_toxicity_scores_against_plain_code():
         assert abs(s - 1 / (1 + np.exp(-(max(means, default=0.0) + model.bias)))) < 1e-9, t
 
 
+@pytest.mark.parametrize("chunk", [1, 60, 1 << 20])
+def test_bags_against_plain_code(monkeypatch, chunk):
+    monkeypatch.setattr(toxicity, "CHUNK", chunk)
+    rng = np.random.default_rng(4)
+    known = ["".join(rng.choice(list("abc"), int(rng.integers(1, 8)))) for _ in range(30)]
+    texts = [t.encode() for t in ["", "ab", " ", "é 猫 b2 " * 5, *(" ".join(["start", *rng.choice(known, n), "end"]) for n in (1, 6, 7, 20, 60))]]
+    y = np.arange(len(texts)) % 2
+    bags, value = toxicity.Bags(texts), rng.normal(size=toxicity.BUCKETS)
+    windows = [(d, w) for d, t in enumerate(texts) for w in plain_windows(t)]
+    assert bags.of.tolist() == [d for d, _ in windows] and bags.docs == len(texts)
+    flat, row = bags.spread(bags.begin, bags.end)
+    assert [sorted(flat[row == i].tolist()) for i in range(len(windows))] == [sorted(w) for _, w in windows]
+    assert np.allclose(bags.means(value), [value[w].mean() for _, w in windows]) and bags.weight.tolist() == [len(w) for _, w in windows]
+    some = sorted({b for _, w in windows for b in w})
+    held = [[len({d for d, w in windows if y[d] == v and b in w}) for v in (1, 0)] for b in some]
+    odds = [min(5, max(-2, np.log((p + 0.5) / (y.sum() + 1)) - np.log((n + 0.5) / ((1 - y).sum() + 1)))) if p + n >= 4 else 0 for p, n in held]
+    assert np.allclose(toxicity._odds(bags, y)[some], odds)
+
+
+def test_fit_holds_each_word_once():
+    rng = np.random.default_rng(6)
+    known = ["".join(rng.choice(list("abcdefgh"), 6)) for _ in range(2000)]
+    texts = [" ".join(rng.choice(known, 1500)).encode() for _ in range(300)]
+    tracemalloc.start()
+    toxicity.fit(texts, np.arange(300) % 2, 0.5, rounds=1, steps=1)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 40 * sum(map(len, texts))
+
+
 def test_quality_scores_against_plain_code():
     rng = np.random.default_rng(2)
     texts = [b"", b"  ", b"a", "Some Words, AND some 12 more é!".encode(), b"go go stop go", *(b" ".join(rng.choice([b"ab", b"Cd", b"EFG", b"x1", b"."], n)) for n in (3, 50))]
