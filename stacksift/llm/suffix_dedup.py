@@ -35,8 +35,8 @@ BASE_1, BASE_2 = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 PIECE = 1 << 20
 #: Anchors that a bucket holds, and bytes of text that a block holds, about.
 BUCKET_ANCHORS, BLOCK_BYTES = 700_000, 8 << 20
-#: Records whose bytes are hashed at a time.
-PART = 16_000
+#: Records that are packed together, records whose windows are named at a time, and windows whose anchors are sought at a time.
+PART, NAMED, SLICE = 16_000, 2_000, 1 << 18
 NONE = np.iinfo(np.int64).max
 HIGH, LOW = np.uint64(0xFFFFFFFF00000000), np.uint64(0xFFFFFFFF)
 
@@ -53,11 +53,25 @@ def _least(v: np.ndarray, width: int) -> np.ndarray:
 def anchors(raw: np.ndarray, starts: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
     """Runs of windows with one anchor: name of the anchor's k-gram, name of the run, first window, windows, anchor.
 
-    starts, counts: the windows that may be used, as runs that don't overlap.
+    starts, counts: the windows that may be used, as runs in order that don't overlap; a run may be cut between two slices.
     """
     empty = np.zeros(0, np.int64)
     if raw.size < 2 * k or not counts.sum():
         return empty.astype(np.uint64), empty.astype(np.uint64), empty, empty, empty
+    used = counts > 0
+    starts, edge, found = starts[used], np.concatenate([[0], np.cumsum(counts[used])]), []
+    for a in range(0, int(edge[-1]), SLICE):
+        b = min(a + SLICE, int(edge[-1]))
+        x, y = np.searchsorted(edge, a, "right") - 1, np.searchsorted(edge, b)
+        begin, end = np.maximum(edge[x:y], a), np.minimum(edge[x + 1 : y + 1], b)
+        first = starts[x:y] + begin - edge[x:y]
+        low, high = int(first[0]), int(first[-1] + end[-1] - begin[-1]) + 2 * k - 1
+        name, run, at, n, anchor = _anchors(raw[low:high], first - low, end - begin, k)
+        found.append((name, run, at + low, n, anchor + low))
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+
+
+def _anchors(raw: np.ndarray, starts: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
     one, two = Rolling(raw, BASE_1), Rolling(raw, BASE_2)
     names = one.grams(k)
     least = _least((mix(names) & HIGH) | np.arange(names.size, dtype=np.uint64), k + 1)
@@ -239,32 +253,40 @@ def _rank_runs(blocks: int):
         b = key[0].as_py()
         if b < 0:  # nothing to sort: on its way to the documents
             return pa.Table.from_batches([_batch(PACKED, [(-1 - b, GONE, _pack_runs(*_open_runs(group.column("payload").to_pylist())))])])
-        doc, row, name, run, begin, n = [], [], [], [], [], []
+        docs, rows, who, name, run, begin, n, held = [], [], [], [], [], [], [], 0
         for payload in group.column("payload"):
             d, r, of, n1, n2, r1, r2, at, count = unpack(payload.as_py())
-            of = np.cumsum(of)
-            doc.append(d[of])
-            row.append(r[of])
+            docs.append(d)
+            rows.append(r)
+            who.append(np.cumsum(of, dtype=np.int32) + np.int32(held))
+            held += d.size
             name.append(n1.astype(np.uint64) << np.uint64(8) | n2)
             run.append(r1.astype(np.uint64) << np.uint64(8) | r2)
-            begin.append(np.cumsum(at))
+            begin.append(np.cumsum(at).astype(np.int32))  # a text has under 2**31 bytes
             n.append(count)
-        doc, row, name, run, begin, n = map(np.concatenate, (doc, row, name, run, begin, n))
+        docs, rows, who, begin, n = map(np.concatenate, (docs, rows, who, begin, n))
+        name = np.concatenate(name)
+        run = np.concatenate(run)
+        doc = docs[who]
         order = np.lexsort((doc, run, name))
-        doc, row, name, run, begin, n = (x[order] for x in (doc, row, name, run, begin, n))
+        doc = doc[order]
+        name = name[order]
         new_name = np.append(True, name[1:] != name[:-1])
+        del name
+        run = run[order]
         new_run = new_name | np.append(True, run[1:] != run[:-1])
+        del run
         run_at = np.flatnonzero(new_run)
         least = doc[run_at[np.cumsum(new_run) - 1]]
         lost = doc > least
         name_at = np.flatnonzero(new_name)
         several = np.add.reduceat(new_run.astype(np.int64), name_at) > 1
         several &= np.minimum.reduceat(doc, name_at) < np.maximum.reduceat(least, name_at)
+        del doc, least
         more = several[np.cumsum(new_name) - 1] & ~lost
         out = []
-        for kind, s in ((GONE, np.flatnonzero(lost)), (MORE, np.flatnonzero(more))):
-            if s.size:
-                out += [(x, kind, _pack_runs(doc[s], row[s], begin[s], n[s])) for x, (s,) in _split(_blocks_of(row[s], blocks), s)]
+        for kind, s in ((GONE, order[lost]), (MORE, order[more])):
+            out += [(x, kind, _pack_runs(docs[who[s]], rows[who[s]], begin[s].astype(np.int64), n[s])) for x, (s,) in _split(_blocks_of(rows[who[s]], blocks), s)]
         return pa.Table.from_batches([_batch(PACKED, out)])
 
     return rank
@@ -377,22 +399,24 @@ def _rank_windows(blocks: int, k: int):
         doc, row, begin, n, off, raw = (np.concatenate(c) for c in zip(*parts, strict=True))
         n, off = n.astype(np.int64), off.astype(np.int64)
         edge = np.concatenate([[0], np.cumsum(n + 2 * k - 1)])
-        parts = []  # of bounded size: first record, first byte, hashes
-        for a in range(0, n.size, PART):
-            bytes_ = raw[edge[a] : edge[min(a + PART, n.size)]]
-            parts.append((a, edge[a], Rolling(bytes_, BASE_1), Rolling(bytes_, BASE_2)))
+        window = np.concatenate([[0], np.cumsum(n)])
+        one_name, next_name = np.empty(window[-1], np.uint64), np.empty(window[-1], np.uint64)
+        for a in range(0, n.size, NAMED):
+            b = min(a + NAMED, n.size)
+            bytes_ = raw[edge[a] : edge[b]]
+            one, two = Rolling(bytes_, BASE_1), Rolling(bytes_, BASE_2)
+            # a record before has n + 2k - 1 bytes for its n windows
+            w = np.arange(window[b] - window[a]) + np.repeat(np.arange(b - a) * (2 * k - 1), n[a:b])
+            one_name[window[a] : window[b]] = mix(one.span(w, w + k)) ^ two.span(w, w + k)
+            next_name[window[a] : window[b]] = one.span(w + k, w + 2 * k) + mix(two.span(w + k, w + 2 * k))
         found = []
         for o in range(k + 1):  # windows whose anchor lies o bytes in
             j = off - o
             s = np.flatnonzero((j >= 0) & (j < n))
             if s.size < 2:
                 continue
-            bounds = np.searchsorted(s, [*(p[0] for p in parts), n.size])
-            first, rest = np.empty(s.size, np.uint64), np.empty(s.size, np.uint64)
-            for (_, low, one, two), x, y in zip(parts, bounds[:-1], bounds[1:], strict=True):
-                w = edge[s[x:y]] + j[s[x:y]] - low
-                first[x:y] = mix(one.span(w, w + k)) ^ two.span(w, w + k)
-                rest[x:y] = one.span(w + k, w + 2 * k) + mix(two.span(w + k, w + 2 * k))
+            w = window[s] + j[s]
+            first, rest = one_name[w], next_name[w]
             order = np.lexsort((doc[s], rest, first))
             a, b, d = first[order], rest[order], doc[s][order]
             new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))

@@ -1,4 +1,5 @@
 import hashlib
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -112,3 +113,40 @@ def sent(rows, k=25):
     second = [x for b, g in groups(records).items() for x in suffix_dedup._rank_windows(2, k)(None, g).to_batches()] if records and sum(r.num_rows for r in records) else []
     out = [r for b, t in whole.items() for r in suffix_dedup._digests(k)(None, t, of(suffix_dedup.GONE, b, ranked + second)).to_pylist()]
     return sorted(((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in out), key=str)
+
+
+@pytest.mark.parametrize(("windows", "records"), [(1, 1), (70, 3), (1000, 16_000)])
+def test_slices(monkeypatch, windows, records):
+    monkeypatch.setattr(suffix_dedup, "SLICE", windows)
+    monkeypatch.setattr(suffix_dedup, "NAMED", records)
+    rng = np.random.default_rng(7)
+    parts = ["".join(rng.choice(list("abcdé "), int(rng.integers(20, 120)))) for _ in range(12)]
+    rows = [(i, "".join(rng.choice(parts, int(rng.integers(0, 6))))) for i in range(40)] + [(None, parts[0] + parts[1])]
+    assert sent(rows) == brute(rows)
+
+
+def traced(f):
+    tracemalloc.start()
+    f()
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return most
+
+
+def test_memory_of_steps():
+    rng = np.random.default_rng(8)
+    k, size = 25, 1 << 21
+    raw = rng.integers(97, 123, size).astype(np.uint8)
+    starts, counts = np.array([0]), np.array([size - 2 * k + 1])
+    for base in (suffix_dedup.BASE_1, suffix_dedup.BASE_2):
+        suffix_dedup.Rolling(raw, base)  # powers are kept
+    assert traced(lambda: suffix_dedup.anchors(raw, starts, counts, k)) < 30 * size
+    records, n = 30_000, 13
+    some = rng.integers(97, 123, (records, n + 2 * k - 1)).astype(np.uint8)
+    ids = np.arange(records)
+    payload = suffix_dedup.pack(ids, ids, ids * 0, np.full(records, n, np.uint8), np.full(records, 20, np.uint8), some.ravel())
+    group = pa.Table.from_batches([suffix_dedup._batch(suffix_dedup.PACKED, [(0, suffix_dedup.MORE, payload)])])
+    assert traced(lambda: suffix_dedup._rank_windows(2, k)(None, group)) < 16 * some.size
+    payload = suffix_dedup.pack(ids, ids, np.append(0, np.diff(ids)).astype(np.int32), *suffix_dedup._forty(rng.integers(0, 1 << 63, records).astype(np.uint64)), *suffix_dedup._forty(rng.integers(0, 1 << 63, records).astype(np.uint64)), ids * 0, np.full(records, n, np.uint8))
+    group = pa.Table.from_batches([suffix_dedup._batch(suffix_dedup.PACKED, [(0, suffix_dedup.SORT, payload)] * 20)])
+    assert traced(lambda: suffix_dedup._rank_runs(2)((pa.scalar(0),), group)) < 114 * 20 * records
