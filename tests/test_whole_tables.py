@@ -219,6 +219,20 @@ def test_aversion_moves_fewer_rows_than_it_returns(spark, tmp_path):
     assert shuffled(entry.queries()["aversion"](spark, str(tmp_path))) < len(ours) / 2
 
 
+def test_aversion_exchanges_readers_and_works_instead_of_their_pairs(spark, tmp_path):
+    parts = [(n, f"bolt t{n}  {'x' * (n % 3)}", None if n % 11 == 0 else f"a {n % 7}", "SMALL") for n in range(300)] + [(n, f"bolt t{n + 9}", "b", "Bolt") for n in range(0, 300, 9)]
+    parts += [(n, "gear", "c", "RED") for n in range(1000, 5200)] + [(5000, None, "d", "RED"), (None, "gear t1", "c", "RED"), (6000, "", None, "")]
+    log = [(n, n, "purchase", 5.0 * (n % 2)) for n in range(300)] + [(n, n % 3 and n, "purchase", float(n % 5)) for n in range(900)] + [(0, 1200, "purchase", -4.0), (0, 7201, "purchase", 0.5), (0, None, "purchase", 0.0)]
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_brand string, p_type string").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame([(datetime(2024, 1, 1), *r[1:]) for r in log], "ts timestamp_ntz, user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    found = duckdb.connect()
+    for name in ("part", "events"):
+        found.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    ours, theirs = both(spark, found, str(tmp_path), entry.queries()["aversion"], entry.oracle_sql()["aversion"])
+    assert ours == theirs and len(ours) > 90_000
+    assert shuffled(entry.queries()["aversion"](spark, str(tmp_path))) < len(ours) / 2
+
+
 def test_states_of_works_whose_keys_meet_new_ones(spark, tmp_path):
     keys = [1, 2, 3, 12, 22, 1_000_002, 1_000_012, 1_000_022, 2_000_002, None, 2, 2]
     sizes = [10, 2, 11, 12, 22, 20, 21, 12, 3, 2, 2, None]
